@@ -21,7 +21,7 @@ def nearest_wall(points: DataFrame, walls: DataFrame, reach: float, order: str =
     (plan_id, a_ord, mx, my), closer than ``reach``; of equally near ones the first."""
     d = G.segment_distance("mx", "my", "wx0", "wy0", "wx1", "wy1")
     pairs = near_join(points, walls, tuple(F.col(c) for c in ("mx", "my", "mx", "my")), tuple(F.col(c) for c in ("wx0", "wy0", "wx1", "wy1")), reach, 128.0, d < reach)
-    best = pairs.groupBy("plan_id", "a_ord").agg(F.min_by(F.struct("w_id", d.alias("d")), F.struct(d.alias("d"), F.col(order).alias("o"))).alias("w"))
+    best = pairs.groupBy("plan_id", "a_ord").agg(F.min_by(F.struct("w_id", d.alias("d")), F.struct(F.round(d, 9).alias("d"), F.col(order).alias("o"))).alias("w"))
     return best.select("plan_id", "a_ord", F.col("w.w_id").alias("w_id"), F.col("w.d").alias("d"))
 
 

@@ -14,7 +14,7 @@ def dash_pattern(dashes):
     numbers = F.transform(parts, lambda x: x.try_cast("double"))
     plain = dashes.isNull() | (F.trim(dashes) == "") | (body == "")
     bad = F.exists(numbers, lambda x: x.isNull())
-    return F.struct(F.when(~plain & ~bad, numbers).alias("pattern"), (~plain).alias("is_dashed"))
+    return F.named_struct(F.lit("pattern"), F.when(~plain & ~bad, numbers), F.lit("is_dashed"), ~plain)
 
 
 def flip_y(y, page_height, flip: bool = True):
