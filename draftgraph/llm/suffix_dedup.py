@@ -88,20 +88,25 @@ def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
 
 
 class _Block:
-    """The files of a construction: the last round's block is read, the next one is written."""
+    """The two files of a construction: the last round's block is read, the next one is written."""
 
     def __init__(self, folder: str):
-        self.names = [f"{folder}/a", f"{folder}/b"]
+        self.files = [open(f"{folder}/{name}", "w+b", buffering=0) for name in "ab"]
 
     def write(self, *columns: np.ndarray) -> None:
-        self.names.reverse()
-        with open(self.names[0], "wb") as f:
-            for c in columns:
-                c.tofile(f)
+        self.files.reverse()
+        self.files[0].seek(0)
+        for c in columns:
+            self.files[0].write(c.tobytes())
 
     def read(self, n: int, *kinds):
-        with open(self.names[0], "rb") as f:
-            return [np.fromfile(f, k, n) for k in kinds]
+        f = self.files[0]
+        f.seek(0)
+        return [np.frombuffer(f.read(n * np.dtype(k).itemsize), k) for k in kinds]
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
 
 def _insert(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, group: np.ndarray):
@@ -172,6 +177,7 @@ def repeated_windows(contexts: list[bytes], place: np.ndarray, first: np.ndarray
         valid = (least[order] <= k) & (k <= back[order])
         repeated[k, order] = (above | below) & valid
         leader[k, order] = ~above & valid
+    files.close()
     return repeated, leader
 
 
@@ -226,28 +232,44 @@ def _text_anchors(length: int, anchor: int):
 
 
 def _contexts(length: int, salt_over: int):
-    """Rows of a text and its repeated anchors to a row for each anchor with the bytes around it."""
-    names = ["hash", "sub", "hot", "id", "place", "first", "last", "context"]
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """Rows of a text and its repeated anchors to a row for each anchor with the bytes around it.
+
+    Where a text holds the same bytes around an anchor at several places (lines that recur, periodic
+    text), all windows there are repeated, which is told at once, as covered intervals of the text;
+    one of the places goes on, for the other texts. Such rows have the text's id as hash, sub -1."""
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(rows):
         for batch in rows:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in _CONTEXT]
             for one, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
+                places: dict[tuple, list] = {}
                 for f in found:
+                    places.setdefault((f["hash"], f["place"] - f["first"], data[f["first"] : f["last"] + length]), []).append(f)
+                covered = []
+                for (_, _, context), same in places.items():
+                    f = same[0]
                     subs = -(-f["n"] // salt_over)
                     sub = (one * 1_000_003 + f["place"] * 7919) % subs if subs > 1 else 0
-                    for column, x in zip(out, (f["hash"], sub, subs > 1, one, f["place"], f["first"], f["last"], data[f["first"] : f["last"] + length])):
+                    for column, x in zip(out, (f["hash"], sub, subs > 1, one, f["place"], f["first"], f["last"], context, None, None)):
+                        column.append(x)
+                    if len(same) > 1:
+                        covered += [(x["first"], x["last"] + length) for x in same]
+                if covered:
+                    runs = merge(*zip(*covered))
+                    for column, x in zip(out, (one, -1, False, one, 0, 0, 0, None, [a for a, _ in runs], [b for _, b in runs])):
                         column.append(x)
                 if len(out[0]) > 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], _CONTEXT)
+                    out = [[] for _ in _CONTEXT]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], _CONTEXT)
 
     return run
 
 
+_CONTEXT = ["hash", "sub", "hot", "id", "place", "first", "last", "context", "starts", "ends"]
+CONTEXT = "hash long, sub int, hot boolean, id long, place int, first int, last int, context binary, starts array<int>, ends array<int>"
 _FOUND = [("id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("bucket", pa.int32()), ("digests", pa.binary())]
 FOUND = "id long, starts array<int>, ends array<int>, bucket int, digests binary"
 #: a window of a hot string: two hashes, its document, its start, its collection, whether it asks
@@ -292,15 +314,24 @@ def _columns(length: int, anchor: int, buckets: int):
 
     def run(rows):
         held: list[tuple] = []
+        told: list[tuple] = []
         digests: list[np.ndarray] = []
 
         def flush(part):
-            ids, starts, ends = work(part, digests)
+            ids, starts, ends = work(part, digests) if part else ([], [], [])
+            for r in told:
+                ids.append(r[3])
+                starts.append(r[8])
+                ends.append(r[9])
+            told.clear()
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip((ids, starts, ends, [None] * len(ids), [None] * len(ids)), _FOUND)], [n for n, _ in _FOUND])
 
         for batch in rows:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[1] < 0:
+                    told.append(row)
+                    continue
                 if len(held) >= BATCH and row[:2] != held[-1][:2]:
                     yield from flush(held)
                     held = []
@@ -308,7 +339,7 @@ def _columns(length: int, anchor: int, buckets: int):
             if sum(map(len, digests)) > 2_000_000:
                 yield _digest_batch(*packed(digests))
                 digests.clear()
-        if held:
+        if held or told:
             yield from flush(held)
         if digests:
             yield _digest_batch(*packed(digests))
@@ -373,7 +404,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # equal texts are combined before the shuffle, so copies cost one row for each task
     texts = long.select("sha", "text").groupBy("sha").agg(F.first("text").alias("text")).join(todo, "sha")
     texts = materialize(texts, "texts-repeated")
-    contexts = texts.select("id", "text", "found").mapInArrow(_contexts(length, limit), "hash long, sub int, hot boolean, id long, place int, first int, last int, context binary")
+    contexts = texts.select("id", "text", "found").mapInArrow(_contexts(length, limit), CONTEXT)
     contexts = contexts.repartition(parts, "hash", "sub").sortWithinPartitions("hash", "sub", "id", "place")
     found = materialize(contexts.mapInArrow(_columns(length, anchor, 4 * parts), FOUND), "windows")
     digests = found.filter("digests IS NOT NULL").select("bucket", "digests").repartition(parts, "bucket").sortWithinPartitions("bucket")
