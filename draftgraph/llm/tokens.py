@@ -2,18 +2,27 @@
 
 A tokenizer whose pre-tokenizer never lets a token reach over a space or a line feed encodes a text
 as the concatenation of what it gives for the text's pieces between them. Pieces recur, so each is
-encoded once in a process and remembered; the memory is emptied when it holds ``LIMIT`` pieces, and
-pieces over ``LONG`` characters are not remembered, which bounds it.
+encoded once and remembered. Texts of Latin letters alone are lower-cased first, as the vocabulary's
+normalizer would; a piece that is a word, or a word and one mark, is encoded as word and mark, since
+the pre-tokenizer parts them too, and many words go to the library in one text, each ending at the
+token that ends a word.
+
+The memory has two generations of at most ``LIMIT`` pieces: when the newer one is full it becomes the
+older one, from which pieces in use come back, and pieces over ``LONG`` characters are never kept.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
-LIMIT, LONG = 400_000, 48
+LIMIT, LONG, JOIN = 700_000, 48, 2000
+#: characters that no normalization form changes and whose lower case does not depend on what is near
+OTHER = re.compile("[^\x00-įı-ɏ]")
+WORD = re.compile("([a-zß-öø-ÿā-įı-ňŊ-ɏ]+)([.,;:!?]?)")
 
 
 class PieceEncoder:
@@ -24,17 +33,69 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.seen: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
+        self.marks = {"": b""} | {m: self._one(m) for m in ".,;:!?"}
+        # one normalizer lower-cases, and each word ends in one token that says so
+        self.by_word = self._one("Ab") == self._one("ab") and bool(self.ends.any())
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Remember words of letters, ``JOIN`` of them in one text."""
+        for a in range(0, len(words), JOIN):
+            some = words[a : a + JOIN]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                data, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.seen.update(zip(some, (data[x:y] for x, y in zip(cut, cut[1:]))))
+            else:
+                self.seen.update((w, self._one(w)) for w in some)
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Remember ``new`` pieces; the long ones are returned."""
+        seen, old = self.seen, self.old
+        rest, words, pairs = [], set(), []
+        for x in new:
+            if (found := old.get(x)) is not None:
+                seen[x] = found
+            elif self.by_word and len(x) <= LONG and (m := WORD.fullmatch(x)):
+                if m[2]:
+                    pairs.append((x, m[1], m[2]))
+                    if m[1] in seen:
+                        continue
+                    if (found := old.get(m[1])) is not None:
+                        seen[m[1]] = found
+                        continue
+                words.add(m[1])
+            else:
+                rest.append(x)
+        self._words(list(words))
+        marks = self.marks
+        seen.update((x, seen[w] + marks[m]) for x, w, m in pairs)
+        encoded = (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))
+        found = dict(zip(rest, encoded))
+        long = {x: found.pop(x) for x in rest if len(x) > LONG}
+        seen.update(found)
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.seen) > LIMIT:
-            self.seen = {"": b""}
+            self.old, self.seen = self.seen, {"": b""}
+        pieces = []
+        for t in texts:
+            t = t or ""
+            if self.by_word and not OTHER.search(t):
+                t = t.lower()
+            pieces.append(t.replace("\n", " ").split(" "))
         seen = self.seen
-        new = [x for x in {x for p in pieces for x in p} if x not in seen]
-        found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        long = {x: found.pop(x) for x in new if len(x) > LONG}
-        seen.update(found)
+        long = self._learn(list(set().union(*pieces).difference(seen)))
         if not long:
             return [b"".join(map(seen.__getitem__, p)) for p in pieces]
         return [b"".join([seen[x] if x in seen else long[x] for x in p]) for p in pieces]
