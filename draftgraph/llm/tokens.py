@@ -19,21 +19,62 @@ from functools import lru_cache
 
 import numpy as np
 
-LIMIT, LONG, JOIN = 700_000, 48, 2000
+LIMIT, LONG, JOIN = 450_000, 48, 2000
 #: characters that no normalization form changes and whose lower case does not depend on what is near
 OTHER = re.compile("[^\x00-įı-ɏ]")
 WORD = re.compile("([a-zß-öø-ÿā-įı-ňŊ-ɏ]+)([.,;:!?]?)")
 
 
-class PieceEncoder:
+class PieceMemory:
+    """Ids of pieces of text, each encoded once; ``_encode`` says how."""
+
+    def __init__(self):
+        self.seen: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Remember ``new`` pieces; those too long to keep are returned."""
+        seen, old = self.seen, self.old
+        rest = []
+        for x in new:
+            if (found := old.get(x)) is not None:
+                seen[x] = found
+            else:
+                rest.append(x)
+        found = dict(zip(rest, self._encode(rest)))
+        long = {x: found.pop(x) for x in rest if len(x) > LONG}
+        seen.update(found)
+        return long
+
+    def join(self, lists) -> list[bytes]:
+        """The ids of each list of pieces (an Arrow list array of strings), one after another."""
+        if len(self.seen) > LIMIT:
+            self.old, self.seen = self.seen, {"": b""}
+        coded = lists.flatten().dictionary_encode()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        seen = self.seen
+        long = self._learn([x for x in pieces if x not in seen])
+        ids = [seen[x] if x in seen else long[x] for x in pieces] if long else [*map(seen.__getitem__, pieces)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = (np.cumsum(sizes) - sizes)[which]
+        sizes = sizes[which]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
+
+
+class PieceEncoder(PieceMemory):
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -45,6 +86,9 @@ class PieceEncoder:
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def _words(self, words: list[str]) -> None:
         """Remember words of letters, ``JOIN`` of them in one text."""
         for a in range(0, len(words), JOIN):
@@ -58,7 +102,6 @@ class PieceEncoder:
                 self.seen.update((w, self._one(w)) for w in some)
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Remember ``new`` pieces; the long ones are returned."""
         seen, old = self.seen, self.old
         rest, words, pairs = [], set(), []
         for x in new:
@@ -78,27 +121,17 @@ class PieceEncoder:
         self._words(list(words))
         marks = self.marks
         seen.update((x, seen[w] + marks[m]) for x, w, m in pairs)
-        encoded = (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))
-        found = dict(zip(rest, encoded))
-        long = {x: found.pop(x) for x in rest if len(x) > LONG}
-        seen.update(found)
-        return long
+        return super()._learn(rest)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self.seen) > LIMIT:
-            self.old, self.seen = self.seen, {"": b""}
-        pieces = []
-        for t in texts:
-            t = t or ""
-            if self.by_word and not OTHER.search(t):
-                t = t.lower()
-            pieces.append(t.replace("\n", " ").split(" "))
-        seen = self.seen
-        long = self._learn(list(set().union(*pieces).difference(seen)))
-        if not long:
-            return [b"".join(map(seen.__getitem__, p)) for p in pieces]
-        return [b"".join([seen[x] if x in seen else long[x] for x in p]) for p in pieces]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [t or "" for t in texts]
+        if self.by_word:
+            plain = [t if OTHER.search(t) else t.lower() for t in plain]
+        return self.join(pc.split_pattern(pa.array([t.replace("\n", " ") for t in plain], pa.string()), " "))
 
 
 @lru_cache(maxsize=4)
