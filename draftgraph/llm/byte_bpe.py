@@ -17,6 +17,7 @@ import base64
 import codecs
 import hashlib
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import batches
+from .tokens import PieceMemory, batches
 
 
 def byte_characters() -> list[str]:
@@ -40,8 +41,17 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f) if a]
 
 
-class ByteBPE:
+#: a run of spaces and line feeds with the word after it; no match of the pattern reaches over its ends
+PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: white space besides these, with which that does not hold
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+class ByteBPE(PieceMemory):
+    """``pattern`` is one whose matches have white space in front alone, as the public one's."""
+
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -59,6 +69,14 @@ class ByteBPE:
         """The library's encodings, with ``ids`` and ``offsets``."""
         return self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
 
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, without offsets: pieces that
+        recur are encoded once."""
+        return self.join(pa.array([[t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in (t or "" for t in texts)], pa.list_(pa.string())))
+
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -115,12 +133,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in rows:
             text = batch.column(1)
             for a, b in batches(text):
-                ids = [e.ids for e in bpe.encode(text.slice(a, b - a).to_pylist())]
+                ids = bpe.ids(text.slice(a, b - a).to_pylist())
                 columns = [
                     batch.column(0).slice(a, b - a),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in ids]),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in ids]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
