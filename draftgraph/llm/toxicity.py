@@ -5,14 +5,14 @@ texts, under a Dirichlet prior; tokens that tell nothing cost ``DRIFT``. One lin
 maximal segment of a text's scores (those that no longer or shorter neighbour beats): its toxic
 passages. Under the scores' distribution in clean texts the best segment of n tokens follows an
 extreme-value law with parameters lambda and K; a segment's excess ``lambda * S - ln(K * n)`` is its
-significance, whatever the text's length. A document's statistic is the sum of the significant
-excesses (else its best one), and a logistic curve, fitted on labelled texts whose tokens were not
-counted, maps it to a score.
+significance, whatever the text's length. A document has the excess of its best segment and the root of the sum of all
+significant ones, and a logistic curve, fitted on labelled texts whose tokens were not counted, maps
+these two to a score.
 
 Learning takes at most ``SAMPLE`` labelled documents, those with the least hash of their id, so what
 is broadcast is bounded; at most ``VOCABULARY`` tokens are kept. Every whole text is scored.
 
-Results in odd cases: a null or empty text has the least statistic there is, and its score; null or
+Results in odd cases: a null or empty text has the least statistics there are, and their score; null or
 missing labels are not learned from, of several labels the largest counts; repeated rows have equal
 scores; without labels of both kinds every score is 0; an empty table gives no rows.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, VOCABULARY = 30_000, 50_000
 DRIFT, PRIOR, CONFIDENCE, LEAST_Z = 0.7, 0.5, 1.64, 2.5
-LOW, HIGH = -20.0, 80.0
+LOW, BEST, SUM, PENALTY = -10.0, 20.0, 400.0, 0.1
 TOKEN = re.compile(r"\w+")
 
 
@@ -64,8 +64,7 @@ class Model:
     scores: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0  # lambda
     size: float = 1.0  # K
-    offset: float = 0.0
-    slope: float = 0.0
+    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     fitted: bool = False
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
@@ -77,17 +76,19 @@ class Model:
         found = segments(np.fromiter((get(w, -DRIFT) for w in words), np.float64, len(words)))
         return [(a, b, self.rate * s - base) for a, b, s in found]
 
-    def statistic(self, words: list[str]) -> float:
+    def statistics(self, words: list[str]) -> tuple[float, float]:
+        """The best segment's excess, in fives, and the root of the sum of the significant ones."""
         excess = [x for _, _, x in self.passages(words)]
         if not excess:
-            return LOW if not words else max(LOW, -log(self.size * len(words) + 1) - 1)
-        over = sum(x for x in excess if x > 0)
-        return min(HIGH, max(LOW, over or max(excess)))
+            return LOW / 5, 0.0
+        return max(LOW, min(BEST, max(excess))) / 5, min(SUM, sum(x for x in excess if x > 0)) ** 0.5
 
     def score(self, words: list[str]) -> float:
         if not self.fitted:
             return 0.0
-        return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.offset + self.slope * self.statistic(words)))))
+        best, root = self.statistics(words)
+        a, b, c = self.weights
+        return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, a + b * best + c * root))))
 
 
 def _rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -104,19 +105,20 @@ def _rate(values: np.ndarray, weights: np.ndarray) -> float:
     return max(0.05, low)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Offset and slope by Newton's method with a small penalty on the slope."""
-    w = np.zeros(2)
-    design = np.column_stack([np.ones_like(x), x])
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Offset and weights by Newton's method with a small penalty on the weights."""
+    design = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(design.shape[1])
+    penalty = np.array([1e-6] + [PENALTY] * (len(w) - 1))
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - p) - np.array([0, 1e-2]) * w
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 1e-2])
+        gradient = design.T @ (y - p) - penalty * w
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(max(0.0, w[1]))
+    return tuple(w.tolist())
 
 
 def fold(doc_id: Column) -> Column:
@@ -170,15 +172,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     clean = held.filter("toxic = 0").mapInArrow(best, "toxic int, n long, best double").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-F.lit(model.rate) * F.col("best"))).alias("s")).first()
     model.size = max(1e-6, clean.m / clean.s) if clean.s else 1.0
 
-    def statistics(parts):
+    def measure(parts):
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.statistic(tokens(t)) for t in batch.column(0).to_pylist()], pa.float64())], ["toxic", "x"])
+            both = [model.statistics(tokens(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())], ["toxic", "best", "root"])
 
-    found = held.mapInArrow(statistics, "toxic int, x double").collect()  # at most a third of `sample`
+    found = held.mapInArrow(measure, "toxic int, best double, root double").collect()  # at most a third of `sample`
     held.unpersist()
     y = np.array([float(r.toxic > 0) for r in found])
     if 0 < y.sum() < len(y):
-        model.offset, model.slope = _logistic(np.array([r.x for r in found]), y)
+        model.weights = _logistic(np.array([(r.best, r.root) for r in found]), y)
         model.fitted = True
     return model
 
