@@ -1,40 +1,13 @@
-"""Tables and files in the folder that driver and executors share."""
+"""What the corpus operators read and write through."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from ..tables import materialize, new_path, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"draftgraph-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if ":/" in found else "file://" + os.path.abspath(found)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/draftgraph/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once in the shared folder and read it back: lineage ends there, so a lost
-    executor costs no recomputation and later readers do not run the plan again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_dir", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
