@@ -1274,3 +1274,67 @@ def _lbl08(spark, sf):
 @query("lbl09", f"WITH {T} SELECT plan_id, ord, '\"' || replace(replace(text, '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM texts")
 def _lbl09(spark, sf):
     return B.text_blocks(spark, sf).select("plan_id", "ord", labels.quoted(F.col("text")).alias("quoted"))
+
+
+# --- files -----------------------------------------------------------------------------------------
+
+
+def small_documents(spark, sf):
+    """Documents of the rooms and text regions alone, as planted for the checks."""
+    return damaged(spark, sf)
+
+
+@query("snk04", f"WITH {R} SELECT plan_id, count(*) AS n_rooms, sum(area) AS area FROM rooms GROUP BY plan_id")
+def _snk04(spark, sf):
+    """Documents written as JSON, a folder for each drawing, and read back whole."""
+    from ..schemas import DOCUMENT
+    from ..tables import new_path
+
+    path = new_path(spark, "json")
+    sinks.write_documents(small_documents(spark, sf), path)
+    back = spark.read.schema(DOCUMENT).json(path)
+    return back.select("plan_id", F.size("rooms").cast("long").alias("n_rooms"), F.aggregate(F.transform("rooms", lambda r: r["area"]), F.lit(0.0), lambda a, x: a + x).alias("area"))
+
+
+@query("src12", f"WITH {R} SELECT plan_id, room_id FROM (SELECT plan_id, CASE WHEN k % 16 IN (1, 2) THEN 'twice' ELSE room_id END AS room_id FROM rooms)")
+def _src12(spark, sf):
+    from ..sources import readers
+    from ..tables import new_path
+
+    path = new_path(spark, "documents")
+    sinks.write_documents(small_documents(spark, sf), path)
+    return readers.documents(spark, path).select("plan_id", F.explode("rooms").alias("r")).select("plan_id", "r.room_id")
+
+
+@query("src15", f"WITH {R} SELECT DISTINCT plan_id FROM rooms")
+def _src15(spark, sf):
+    """Sidecars lie beside the documents and are not read."""
+    from ..sources import readers
+    from ..tables import new_path
+
+    path = new_path(spark, "folder")
+    sinks.write_documents(small_documents(spark, sf), path)
+    docs = readers.documents(spark, path)
+    return docs.filter(~F.col("file").contains("_dropped")).select("plan_id").distinct()
+
+
+@query("src13", f"WITH {W} SELECT plan_id, count(*) AS n_rows, count(*) FILTER (WHERE n % 2 = 1) AS n_wall_rows, count(*) FILTER (WHERE n % 2 = 1) // 2 AS estimated_walls FROM walls GROUP BY plan_id")
+def _src13(spark, sf):
+    from ..sources import readers
+    from ..tables import new_path
+
+    path = new_path(spark, "marks")
+    wall_table(spark, sf).select("plan_id", "segment_id", (F.col("n") % 2).alias("is_wall")).write.option("header", True).csv(path)
+    rows = readers.marks_csv(spark, path).withColumn("plan_id", F.col("plan_id").cast("long"))
+    return evaluate.mark_statistics(rows)
+
+
+@query("evl05", "SELECT bucket, count(*) AS n, sum(n_rooms)::BIGINT AS n_rooms FROM (SELECT CASE s_suppkey % 5 WHEN 1 THEN 'timeout' WHEN 2 THEN 'error' WHEN 3 THEN 'unknown' ELSE 'ok' END AS bucket, CASE WHEN s_suppkey % 5 IN (0, 4) THEN (1 + s_suppkey % 4) * (1 + s_suppkey % 3) ELSE 0 END AS n_rooms FROM supplier) GROUP BY bucket")
+def _evl05(spark, sf):
+    """A batch of drawings: each run's status, and the rooms of those that ended well."""
+    s = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("plan_id"))
+    status = F.get(F.array(F.lit("ok"), F.lit("timeout: exceeded 300s cap"), F.lit("error: no drawings"), F.lit(""), F.lit("ok")), (F.col("plan_id") % 5).cast("int"))
+    runs = s.select("plan_id", X.status_bucket(status).alias("bucket"))
+    found = _rooms_of(spark, sf)[2].groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
+    ok = runs.filter("bucket = 'ok'").join(found, "plan_id", "left").select("plan_id", F.col("n").alias("rooms"))
+    return runs.join(ok, "plan_id", "left").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("rooms", F.lit(0))).alias("n_rooms"))
