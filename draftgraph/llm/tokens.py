@@ -3,9 +3,9 @@
 A tokenizer whose pre-tokenizer never lets a token reach over a space or a line feed encodes a text
 as the concatenation of what it gives for the text's pieces between them. Pieces recur, so each is
 encoded once and remembered. Texts of Latin letters alone are lower-cased first, as the vocabulary's
-normalizer would; a piece that is a word, or a word and one mark, is encoded as word and mark, since
-the pre-tokenizer parts them too, and many words go to the library in one text, each ending at the
-token that ends a word.
+normalizer would, and a mark between a word and a space becomes a piece of its own, as the
+pre-tokenizer parts them too. Many words go to the library in one text, each ending at the token
+that ends a word.
 
 The memory has two generations of at most ``LIMIT`` pieces: when the newer one is full it becomes the
 older one, from which pieces in use come back, and pieces over ``LONG`` characters are never kept.
@@ -19,10 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 
-LIMIT, LONG, JOIN = 450_000, 48, 2000
+LIMIT, LONG, JOIN, SLICE = 450_000, 48, 2000, 12_000_000
 #: characters that no normalization form changes and whose lower case does not depend on what is near
 OTHER = re.compile("[^\x00-įı-ɏ]")
-WORD = re.compile("([a-zß-öø-ÿā-įı-ňŊ-ɏ]+)([.,;:!?]?)")
+LETTERS = "a-zß-öø-ÿā-įı-ňŊ-ɏ"
+WORD = re.compile(f"[{LETTERS}]+")
+MARK = f"([{LETTERS}])([.,;:!?])( |$)"
 
 
 class PieceMemory:
@@ -79,7 +81,6 @@ class PieceEncoder(PieceMemory):
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = {"": b""} | {m: self._one(m) for m in ".,;:!?"}
         # one normalizer lower-cases, and each word ends in one token that says so
         self.by_word = self._one("Ab") == self._one("ab") and bool(self.ends.any())
 
@@ -102,25 +103,12 @@ class PieceEncoder(PieceMemory):
                 self.seen.update((w, self._one(w)) for w in some)
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        seen, old = self.seen, self.old
-        rest, words, pairs = [], set(), []
+        if not self.by_word:
+            return super()._learn(new)
+        old, rest, words = self.old, [], []
         for x in new:
-            if (found := old.get(x)) is not None:
-                seen[x] = found
-            elif self.by_word and len(x) <= LONG and (m := WORD.fullmatch(x)):
-                if m[2]:
-                    pairs.append((x, m[1], m[2]))
-                    if m[1] in seen:
-                        continue
-                    if (found := old.get(m[1])) is not None:
-                        seen[m[1]] = found
-                        continue
-                words.add(m[1])
-            else:
-                rest.append(x)
-        self._words(list(words))
-        marks = self.marks
-        seen.update((x, seen[w] + marks[m]) for x, w, m in pairs)
+            (words if x not in old and len(x) <= LONG and WORD.fullmatch(x) else rest).append(x)
+        self._words(words)
         return super()._learn(rest)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -131,7 +119,10 @@ class PieceEncoder(PieceMemory):
         plain = [t or "" for t in texts]
         if self.by_word:
             plain = [t if OTHER.search(t) else t.lower() for t in plain]
-        return self.join(pc.split_pattern(pa.array([t.replace("\n", " ") for t in plain], pa.string()), " "))
+        rows = pa.array([t.replace("\n", " ") for t in plain], pa.string())
+        if self.by_word:
+            rows = pc.replace_substring_regex(rows, MARK, r"\1 \2\3")
+        return self.join(pc.split_pattern(rows, " "))
 
 
 @lru_cache(maxsize=4)
@@ -140,7 +131,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def batches(column, most: int = 4_000_000):
+def batches(column, most: int = SLICE):
     """Slices (start, stop) of an Arrow string column of about ``most`` bytes each, one row at least."""
     import pyarrow.compute as pc
 
