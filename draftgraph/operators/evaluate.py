@@ -43,9 +43,12 @@ def claim_candidates(walls: DataFrame, marks: DataFrame, perp: float = 6.0, para
     n = G.length("x0", "y0", "x1", "y1")
     w = walls.select("plan_id", "ord", "x0", "y0", "x1", "y1", n.alias("length"), F.greatest(F.col("thickness") / 2.0, F.lit(0.5)).alias("off"), G.angle(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("w_ang"))
     m = marks.withColumn("g_ang", G.angle(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0")))
-    reach = F.col("off") + perp + 0.06 * 1  # ends may run past a mark's by a part of its length, see below
+    reach = F.col("off") + perp
+    # ends may run past a mark's by a part of its length, so its box is widened; a wall that claims a mark
+    # as either side, or by its middle, has its middle within the offset and the tolerance of the mark's line
+    near = G.line_distance("gx0", "gy0", "gx1", "gy1", G.midpoint("x0", "x1"), G.midpoint("y0", "y1")) <= reach + 1e-9
     m = m.withColumns({"bx0": F.least("gx0", "gx1") - 0.06 * F.col("g_len"), "by0": F.least("gy0", "gy1") - 0.06 * F.col("g_len"), "bx1": F.greatest("gx0", "gx1") + 0.06 * F.col("g_len"), "by1": F.greatest("gy0", "gy1") + 0.06 * F.col("g_len")})
-    pairs = near_join(w, m, tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(c) for c in ("bx0", "by0", "bx1", "by1")), 0.0, 256.0, G.angle_difference("w_ang", "g_ang") <= parallel, left_reach=reach)
+    pairs = near_join(w, m, tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(c) for c in ("bx0", "by0", "bx1", "by1")), 0.0, 256.0, (G.angle_difference("w_ang", "g_ang") <= parallel) & near, left_reach=reach)
     px, py = -(F.col("y1") - F.col("y0")) / F.col("length"), (F.col("x1") - F.col("x0")) / F.col("length")
     on = lambda x, y: G.on_strip(x, y, "gx0", "gy0", "gx1", "gy1", perp)
 
