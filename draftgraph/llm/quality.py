@@ -29,10 +29,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), "")
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of eight words that occur twice or more, each word once."""
 
@@ -47,7 +43,7 @@ def _repeat_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(pairs, of_pairs))
 
     def of_word_hashes(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
         return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(_let(windows, of_hashes))
 
     return _let(F.transform(words, lambda x: F.xxhash64(x)), of_word_hashes)
@@ -60,18 +56,22 @@ def _line_key(line: Column) -> Column:
 def _base(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("t"))
-    words = F.col("words")
     with_word = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACE + " ", "")) > 0)
+
+    def of_parts(parts: Column) -> Column:
+        """From the text cut at each white space: words, their characters, words in repeated windows."""
+        chars = (F.length("t") - F.size(parts) + 1).cast("long").alias("c")
+        return _let(F.array_remove(parts, ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), chars, _repeat_words(w).cast("long").alias("r")))
+
     return d.select(
         "doc_id",
         F.coalesce("source", F.lit("\x00")).alias("host"),
         F.xxhash64("t").alias("k1"),
         F.xxhash64(F.lit(1), "t").alias("k2"),
-        F.length(F.translate("t", SPACE + " ", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(with_word, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        _let(_words(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r"))).alias("w"),
-    ).select("doc_id", "host", "k1", "k2", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
+        _let(F.split(F.translate("t", SPACE, " " * len(SPACE)), " "), of_parts).alias("w"),
+    ).select("doc_id", "host", "k1", "k2", F.col("w.n").alias("n_words"), F.col("w.c").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:

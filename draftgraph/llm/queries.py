@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity
 from .storage import table
 
-#: where the public vocabularies are; the same on every machine
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _vocabulary(name: str) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
+    """Where the public vocabularies are; the same on every machine."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
