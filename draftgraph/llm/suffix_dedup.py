@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, shuffle_partitions
 
-LENGTH, ANCHOR, LIMIT, BATCH = 400, 200, 256, 20_000
+LENGTH, ANCHOR, LIMIT, BATCH = 400, 200, 128, 20_000
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PAD = 256
 
