@@ -213,52 +213,66 @@ def cut(data: bytes, spans: list[tuple[int, int]], whole_characters: bool = Fals
     return b"".join(kept)
 
 
+def text_anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR):
+    """The chosen strings of a text as (hash, place, first window, last window) columns, and covered
+    intervals. Where the same bytes stand around a string at several places (lines that recur, periodic
+    text), all windows there are repeated: they are covered at once, and one of the places goes on."""
+    h, place, first, last = anchors(np.frombuffer(data, np.uint8), length, anchor)
+    order = np.lexsort((first, last - first, place - first, h))
+    same = (h[order][1:] == h[order][:-1]) & ((place - first)[order][1:] == (place - first)[order][:-1]) & ((last - first)[order][1:] == (last - first)[order][:-1])
+    stay = np.ones(len(h), bool)
+    starts, ends = [], []
+    for a, b in zip(*_runs(same)):
+        met: dict[bytes, list] = {}
+        for k in order[a : b + 2].tolist():
+            x, y = int(first[k]), int(last[k]) + length
+            one = met.setdefault(data[x:y], [x, y, 0])
+            if one[2]:
+                stay[k] = False
+                starts.append(x)
+                ends.append(y)
+            one[2] += 1
+        for x, y, n in met.values():
+            if n > 1:
+                starts.append(x)
+                ends.append(y)
+    return (h[stay].view(np.int64), place[stay], first[stay], last[stay]), merge(starts, ends)
+
+
 def _text_anchors(length: int, anchor: int):
     def run(rows):
         for batch in rows:
-            sha, hashes, places, firsts, lasts = [], [], [], [], []
+            sha, columns = [], [[] for _ in range(6)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(text.encode(), np.uint8)
-                if len(data) < length:
-                    continue
-                h, p, a, b = anchors(data, length, anchor)
-                sha.append(key)
-                for column, x in zip((hashes, places, firsts, lasts), (h.view(np.int64), p, a, b)):
-                    column.append(x)
-            lists = [pa.array(x, pa.list_(kind)) for x, kind in ((hashes, pa.int64()), (places, pa.int32()), (firsts, pa.int32()), (lasts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), *lists], ["sha", "hash", "place", "first", "last"])
+                data = text.encode()
+                if len(data) >= length:
+                    found, covered = text_anchors(data, length, anchor)
+                    sha.append(key)
+                    for column, x in zip(columns, (*found, [a for a, _ in covered], [b for _, b in covered])):
+                        column.append(x)
+            lists = [pa.array(x, pa.list_(kind)) for x, kind in zip(columns, (pa.int64(), *[pa.int32()] * 5))]
+            yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), *lists], ["sha", "hash", "place", "first", "last", "starts", "ends"])
 
     return run
 
 
 def _contexts(length: int, salt_over: int):
-    """Rows of a text and its repeated anchors to a row for each anchor with the bytes around it.
-
-    Where a text holds the same bytes around an anchor at several places (lines that recur, periodic
-    text), all windows there are repeated, which is told at once, as covered intervals of the text;
-    one of the places goes on, for the other texts. Such rows have the text's id as hash, sub -1."""
+    """Rows of a text, its repeated anchors and its covered intervals to a row for each anchor with the
+    bytes around it; intervals go along in a row with the text's id as hash, sub -1."""
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(rows):
         for batch in rows:
             out: list[list] = [[] for _ in _CONTEXT]
-            for one, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for one, text, found, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
-                places: dict[tuple, list] = {}
-                for f in found:
-                    places.setdefault((f["hash"], f["place"] - f["first"], data[f["first"] : f["last"] + length]), []).append(f)
-                covered = []
-                for (_, _, context), same in places.items():
-                    f = same[0]
+                for f in found or ():
                     subs = -(-f["n"] // salt_over)
                     sub = (one * 1_000_003 + f["place"] * 7919) % subs if subs > 1 else 0
-                    for column, x in zip(out, (f["hash"], sub, subs > 1, one, f["place"], f["first"], f["last"], context, None, None)):
+                    for column, x in zip(out, (f["hash"], sub, subs > 1, one, f["place"], f["first"], f["last"], data[f["first"] : f["last"] + length], None, None)):
                         column.append(x)
-                    if len(same) > 1:
-                        covered += [(x["first"], x["last"] + length) for x in same]
-                if covered:
-                    runs = merge(*zip(*covered))
-                    for column, x in zip(out, (one, -1, False, one, 0, 0, 0, None, [a for a, _ in runs], [b for _, b in runs])):
+                if starts:
+                    for column, x in zip(out, (one, -1, False, one, 0, 0, 0, None, starts, ends)):
                         column.append(x)
                 if len(out[0]) > 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], _CONTEXT)
@@ -393,18 +407,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     copied = materialize(base.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha"), "text-copies")
     long = rows.filter(F.octet_length("text") >= length)
 
-    chosen = long.select("sha", "text").mapInArrow(_text_anchors(length, anchor), "sha binary, hash array<long>, place array<int>, first array<int>, last array<int>")
-    chosen = chosen.select("sha", F.arrays_zip("hash", "place", "first", "last").alias("a"))
-    chosen = materialize(chosen.groupBy("sha").agg(F.first("a").alias("a")), "anchors")
+    chosen = long.select("sha", "text").mapInArrow(_text_anchors(length, anchor), "sha binary, hash array<long>, place array<int>, first array<int>, last array<int>, starts array<int>, ends array<int>")
+    chosen = chosen.select("sha", F.arrays_zip("hash", "place", "first", "last").alias("a"), "starts", "ends")
+    chosen = materialize(chosen.groupBy("sha").agg(F.first("a").alias("a"), F.first("starts").alias("starts"), F.first("ends").alias("ends")), "anchors")
     each = chosen.select("sha", F.explode("a").alias("a")).select("sha", "a.*")
     counts = materialize(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
     todo = each.join(counts, "hash").groupBy("sha").agg(F.collect_list(F.struct("hash", "place", "first", "last", "n")).alias("found"))
-    todo = materialize(todo.select("sha", F.monotonically_increasing_id().alias("id"), "found"), "anchors-repeated")
+    told = chosen.filter(F.size("starts") > 0).select("sha", "starts", "ends")
+    todo = todo.join(told, "sha", "full").select("sha", F.monotonically_increasing_id().alias("id"), "found", "starts", "ends")
+    todo = materialize(todo, "anchors-repeated")
 
     # equal texts are combined before the shuffle, so copies cost one row for each task
     texts = long.select("sha", "text").groupBy("sha").agg(F.first("text").alias("text")).join(todo, "sha")
     texts = materialize(texts, "texts-repeated")
-    contexts = texts.select("id", "text", "found").mapInArrow(_contexts(length, limit), CONTEXT)
+    contexts = texts.select("id", "text", "found", "starts", "ends").mapInArrow(_contexts(length, limit), CONTEXT)
     contexts = contexts.repartition(parts, "hash", "sub").sortWithinPartitions("hash", "sub", "id", "place")
     found = materialize(contexts.mapInArrow(_columns(length, anchor, 4 * parts), FOUND), "windows")
     digests = found.filter("digests IS NOT NULL").select("bucket", "digests").repartition(parts, "bucket").sortWithinPartitions("bucket")
