@@ -138,7 +138,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     steps = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     per_task = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(per_task, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"), *["ids"] * with_ids)
+    # the counts grow with the number of tasks, so they are never broadcast
+    ranked = pieces.join(per_task.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"), *["ids"] * with_ids)
 
     span = np.int64(1) << np.int64(48)  # a length's ranks stay below this
     keys = steps[:, 0] * span + steps[:, 1]
