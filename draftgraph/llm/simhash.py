@@ -7,8 +7,9 @@ A fingerprint has, for each bit, whether over half the hashes of a document's wo
 link is lost. A group holds what agrees on 32 bits, and the Gray-order index finds the links in it.
 
 *Similar shingle sets* (``near_groups``): at a similarity of 0.8 some 15 of 100 bits differ, which no
-set of exact fields survives, so fingerprints have 256 bits and go to ``TABLES`` groups keyed by
-sampled bits; the index finds pairs in each group that are within the radius of that similarity.
+set of exact fields survives, so fingerprints have 256 bits and go to groups keyed by sampled bits, in
+as many tables as let them meet (``tables_of``); the index finds pairs in each group that are within the
+radius of that similarity.
 
 Groups give at most one link for each fingerprint they hold, never all pairs.
 
@@ -21,7 +22,7 @@ the same fingerprint and component; an empty table gives no rows.
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, pi
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from .gray_index import group_links
 from .storage import materialize, shuffle_partitions
 
 CHUNK = 1 << 16
-TABLES = 32
+TABLES = 32  # at least
+MISS = 0.003
 
 
 def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
@@ -76,9 +78,25 @@ def _field_keys(words: np.ndarray) -> list[np.ndarray]:
     return [np.uint64(t) << np.uint64(32) | fields[a] << np.uint64(16) | fields[b] for t, (a, b) in enumerate(combinations(range(4), 2))]
 
 
-def _sampled_keys(bits: int):
+def difference(similarity: float) -> float:
+    """The share of bits expected to differ at a Jaccard similarity of shingle sets."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def tables_of(bits: int, similarity: float = 0.8) -> int:
+    """Tables of ``bits`` sampled bits, so that a pair which differs as expected at ``similarity`` meets
+    in one but for ``MISS`` (over the noise of all pairs within the radius: under 0.01 at 21 bits)."""
+    return max(TABLES, ceil(log(1 / MISS) / (1 - difference(similarity)) ** bits))
+
+
+def key_bits(count: int) -> int:
+    """Key bits for ``count`` documents: groups of 32 to 64 by chance, from 65,536 documents on."""
+    return max(10, min(40, count.bit_length() - 6))
+
+
+def _sampled_keys(bits: int, similarity: float = 0.8):
     draws = np.random.default_rng(20240229)
-    chosen = [draws.choice(256, bits, replace=False) for _ in range(TABLES)]
+    chosen = [draws.choice(256, bits, replace=False) for _ in range(tables_of(bits, similarity))]
 
     def keys(words: np.ndarray) -> list[np.ndarray]:
         flat = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1).astype(np.uint64)
@@ -87,8 +105,9 @@ def _sampled_keys(bits: int):
     return keys
 
 
-def _link(fps: DataFrame, keys, words: int, radius: int) -> DataFrame:
-    """Components over ``fps`` (doc_id, fp): doc_id, fp, component_id."""
+def _link(fps: DataFrame, keys, words: int, radius: int, spread: int = 1) -> DataFrame:
+    """Components over ``fps`` (doc_id, fp): doc_id, fp, component_id. Groups are dealt over ``spread``
+    times the shuffle partitions."""
     spark = fps.sparkSession
     parts = shuffle_partitions(spark)
     fps = materialize(fps, "fingerprints")
@@ -111,7 +130,7 @@ def _link(fps: DataFrame, keys, words: int, radius: int) -> DataFrame:
             a, b = group_links(w, t["key"].to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
-    dealt = nodes.filter("id IS NOT NULL").select("fp", "id").mapInArrow(deal, "key long, fp binary, id long").repartition(parts, "key")
+    dealt = nodes.filter("id IS NOT NULL").select("fp", "id").mapInArrow(deal, "key long, fp binary, id long").repartition(parts * spread, "key")
     found = components(dealt.mapInArrow(links, "a long, b long"))
     of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "fingerprint-components")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
@@ -129,12 +148,14 @@ def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 def radius_of(similarity: float, bits: int = 256) -> int:
     """Differing bits expected at a Jaccard similarity of shingle sets, and one standard error more,
     so that the fingerprint's noise does not lose pairs at the bound."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
+    p = difference(similarity)
     return int(bits * p + (bits * p * (1 - p)) ** 0.5)
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, fp, component_id of documents whose sets of ``shingle`` words are similar. The number
-    of key bits follows the number of documents, so that groups keep their size as the corpus grows."""
-    bits = max(10, min(40, int(docs.count()).bit_length() - 4))
-    return _link(fingerprints(docs, shingle, (42, 43, 44, 45)), _sampled_keys(bits), 4, radius_of(similarity))
+    of key bits follows the number of documents, so that groups keep their size as the corpus grows,
+    and the number of tables follows the bits, so that recall stays."""
+    bits = key_bits(int(docs.count()))
+    spread = -(-tables_of(bits, similarity) // TABLES)
+    return _link(fingerprints(docs, shingle, (42, 43, 44, 45)), _sampled_keys(bits, similarity), 4, radius_of(similarity), spread)

@@ -306,6 +306,20 @@ def test_near_groups(spark, none):
     assert simhash.near_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("bits", [10, 14, 18, 21])
+def test_near_pairs_meet_at_any_corpus_size(bits):
+    """Pairs within the radius, of which bits differ as at 0.8, share a key whatever the corpus size."""
+    rng = np.random.default_rng(bits)
+    a = rng.integers(0, 2, (1000, 256), dtype=np.uint8)
+    b = a ^ (rng.random(a.shape) < 0.15).astype(np.uint8)
+    words = [np.packbits(x, axis=1).view(">u8").astype(np.uint64) for x in (a, b)]
+    keys = simhash._sampled_keys(bits)
+    met = np.zeros(1000, bool)
+    for x, y in zip(keys(words[0]), keys(words[1])):
+        met |= x == y
+    assert met[(a != b).sum(axis=1) <= simhash.radius_of(0.8)].mean() > 0.98
+
+
 def test_byte_bpe(docs, corpus, none):
     import base64
 
