@@ -21,6 +21,9 @@ Wanted are the bytes covered by a string of ``length`` bytes that starts at two
 Texts that are equal as a whole are represented by one of them; those of ``length`` bytes or more are
 covered in full.
 
+*Passages by words* (``remove_passages``): the same construction over texts in which each word is a code
+of ``CODE`` bytes, so that a run of so many words has the same length however long its words are.
+
 Results in odd cases: null texts are empty; texts shorter than ``length`` lose nothing; rows with a
 null or repeated doc_id are documents of their own; an empty table gives no rows.
 """
@@ -28,18 +31,22 @@ null or repeated doc_id are documents of their own; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .storage import materialize, shuffle_partitions
 
 LENGTH, ANCHOR, LIMIT, BATCH = 400, 200, 128, 20_000
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PAD = 256
+WORDS, CODE = 51, 4
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class _Powers:
@@ -239,12 +246,16 @@ def text_anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR):
     return (h[stay].view(np.int64), place[stay], first[stay], last[stay]), merge(starts, ends)
 
 
+def _bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
 def _text_anchors(length: int, anchor: int):
     def run(rows):
         for batch in rows:
             sha, columns = [], [[] for _ in range(6)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
+                data = _bytes(text)
                 if len(data) >= length:
                     found, covered = text_anchors(data, length, anchor)
                     sha.append(key)
@@ -265,7 +276,7 @@ def _contexts(length: int, salt_over: int):
         for batch in rows:
             out: list[list] = [[] for _ in _CONTEXT]
             for one, text, found, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode()
+                data = _bytes(text)
                 for f in found or ():
                     subs = -(-f["n"] // salt_over)
                     sub = (one * 1_000_003 + f["place"] * 7919) % subs if subs > 1 else 0
@@ -401,7 +412,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     bytes, which may overlap)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("").cast(docs.schema["text"].dataType)).alias("text"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
     base = materialize(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     copied = materialize(base.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha"), "text-copies")
@@ -481,3 +492,84 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         out = out.withColumn("n_chars", F.when(new == F.col("text"), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)))
     out = out.withColumn("text", new)
     return out.select(*docs.columns)
+
+
+def word_codes(data: bytes, words: int = WORDS, length: int = LENGTH) -> tuple[bytes, bool]:
+    """A code for each word, and whether ``length`` bytes of ``data`` can repeat without ``words`` whole
+    words in common: a word cut at either end of them may be whole in one text alone."""
+    import xxhash
+
+    spans = [m.span() for m in WORD.finditer(data)]
+    code = np.fromiter((xxhash.xxh32_intdigest(data[a:b]) for a, b in spans), "<u4", len(spans)).tobytes()
+    if len(data) < length:
+        return code, False
+    if len(spans) < words + 2:
+        return code, True
+    starts = np.array([-1] + [a for a, _ in spans])
+    ends = np.array([b for _, b in spans] + [len(data) + 1])
+    return code, bool((ends[words + 1 :] - starts[: -words - 1] - 2 >= length).any())
+
+
+def passage_spans(data: bytes, codes: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, int]]:
+    """Covered intervals of a text's codes to those of its bytes that hold ``words`` words, each with the
+    white space behind it."""
+    spans = [m.span() for m in WORD.finditer(data)]
+    out = []
+    for start, end in codes:
+        a, b = -(-start // CODE), end // CODE
+        if b - a >= words:
+            out.append((spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]))
+    return out
+
+
+def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
+    """``docs`` without runs of ``words`` words or more that are at two places or more, whatever their
+    length in bytes, and without repeated strings of ``length`` bytes in which there are fewer words."""
+
+    def coded(rows):
+        for batch in rows:
+            codes, wide = [], []
+            texts = batch.column(1).to_pylist()
+            for text in texts:
+                code, few = word_codes(text.encode(), words, length)
+                codes.append(code)
+                wide.append(text if few else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(wide, pa.string())], ["sha", "code", "wide"])
+
+    def cut_rows(rows):
+        for batch in rows:
+            n = len(batch.schema.names) - 7
+            texts, changed = batch.column("text").to_pylist(), [False] * batch.num_rows
+            for i, (w_starts, w_ends, w_all, starts, ends, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n + 1 :]))):
+                if not (w_starts or w_all or starts or whole):
+                    continue
+                data = texts[i].encode()
+                spans = passage_spans(data, [(0, CODE * len(WORD.findall(data)))] if w_all else list(zip(w_starts or (), w_ends or ())), words)
+                spans += [(0, len(data))] if whole else list(zip(starts or (), ends or ()))
+                if spans:
+                    texts[i], changed[i] = cut(data, merge(*zip(*spans)), whole_characters=True).decode(), True
+            columns = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(batch.schema.names[:n], batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*batch.schema.names[:n], "__cut"])
+
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    nobody = F.lit(None).cast("long").alias("doc_id")
+    base = docs.filter("text IS NOT NULL").select(sha.alias("sha"), "text").mapInArrow(coded, "sha binary, code binary, wide string")
+    base = materialize(base, "word-codes")
+
+    def found(texts: DataFrame, size: int, anchor: int, key: str, names: tuple[str, str, str]) -> DataFrame:
+        _, copied, spans = repeated_spans(texts.filter(F.octet_length("text") >= size), size, anchor, limit)
+        spans = spans.select(F.col("sha").alias(key), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
+        return spans.join(copied.select(F.col("sha").alias(key), F.lit(True).alias(names[2])), key, "full")
+
+    by_code = found(base.select(nobody, F.col("code").alias("text")), CODE * words, CODE * (words // 2), "__code", ("__w_starts", "__w_ends", "__w_all"))
+    codes = base.filter(F.octet_length("code") >= CODE * words).select(F.col("sha").alias("__sha"), F.unhex(F.sha2("code", 256)).alias("__code"))
+    by_code = codes.distinct().join(by_code, "__code").drop("__code")
+    by_text = found(base.filter("wide IS NOT NULL").select(nobody, F.col("wide").alias("text")), length, ANCHOR, "__sha", ("__starts", "__ends", "__all"))
+    cuts = materialize(by_code.join(by_text, "__sha", "full"), "passages")
+
+    named = ["__sha", "__w_starts", "__w_ends", "__w_all", "__starts", "__ends", "__all"]
+    out = docs.withColumn("__sha", sha).join(cuts, "__sha", "left").select(*docs.columns, *named)
+    out = out.mapInArrow(cut_rows, StructType([*docs.schema.fields, StructField("__cut", BooleanType())]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -136,6 +136,41 @@ def test_removal_keeps_characters(docs, none):
     assert suffix_dedup.removal(none).count() == 0 and suffix_dedup.remove_repeats(none).count() == 0
 
 
+def brute_passages(texts, words):
+    """The texts without runs of ``words`` words that are at two places, as lists of words."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    at = Counter(tuple(w[k : k + words]) for w in split for k in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        gone = {j for k in range(len(w) - words + 1) if at[tuple(w[k : k + words])] > 1 for j in range(k, k + words)}
+        out.append([x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize("limit", [128, 2])
+def test_passages_by_words(spark, none, limit):
+    rng = random.Random(21)
+    rows = []
+    for n in (50, 51, 52, 55, 60):
+        passage = prose(rng, n)
+        assert len(passage) < 400
+        for k in range(4):
+            rows.append((10 * n + k, prose(rng, 80) + " " + (passage if k else passage.replace(" ", "\n")) + " " + prose(rng, 70), "s"))
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    rows += [(1, f"x1 {a} {b} x2", "s"), (2, f"x3 {b} {c} x4", "s"), (3, f"x5 {a} {b} {c} x6", "s"), (4, "a b " * 60, "s"), (5, None, "s"), (6, "", "s")]
+    long = "".join(rng.choice("abcdefgh") for _ in range(450))
+    rows += [(7, "before " + long + " behind", "s"), (8, prose(rng, 90) + " " + long, "s")]
+    out = suffix_dedup.remove_passages(make(spark, rows), limit=limit)
+    got = {r.doc_id: r for r in out.collect()}
+    want = {i: w for (i, _, _), w in zip(rows, brute_passages([t or "" for _, t, _ in rows], 51))}
+    for i, t, _ in rows:
+        left = (got[i].text or "").split()
+        assert left == (["before", "behind"] if i == 7 else want[i][:-1] if i == 8 else want[i])
+        assert got[i].n_chars == len(got[i].text or "")
+    assert got[5].text is None and any(len(want[510 + k]) == 150 for k in range(4)) and any(len(want[500 + k]) == 200 for k in range(4))
+    assert out.columns == make(spark, []).columns and suffix_dedup.remove_passages(none).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(values):

@@ -41,3 +41,15 @@ def test_stages(spark, tmp_path, none):  # noqa: F811
     empty = none.drop("sha", "hash", "kept", "id")
     for _, stage in P.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_suffix_stage_reaches_short_passages(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(10):
+        passage = prose(rng, 51 + k)
+        assert len(passage) < 400
+        rows += [(2 * k + j, prose(rng, 100) + " " + passage + " " + prose(rng, 100), "s") for j in range(2)]
+    docs = make(spark, rows).drop("sha", "hash", "kept", "id")
+    out = {r.doc_id: r.text for r in P.suffix_stage(spark, docs, "").collect()}
+    assert all(190 < len(out[i].split()) <= 200 for i, _, _ in rows)
