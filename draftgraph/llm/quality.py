@@ -3,7 +3,8 @@
 Cross-document line frequency: every line is normalised (case folded, white space collapsed) and
 hashed; the distinct documents of a host that hold it are counted, texts that are equal counting
 once; a line is above the limits when at least ``min_docs`` documents and a share ``max_share`` of
-the host's documents hold it. Such lines are removed, and a document of which less than
+the host's documents hold it (a share of 0: the number alone, so that a line which is frequent in a
+small host stays so when the host grows). Such lines are removed, and a document of which less than
 ``min_left`` of its words is left is depleted and rejected.
 
 Only DataFrame functions. What is shuffled is one narrow row for each line, never text.
@@ -110,6 +111,14 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     )
 
 
+def limit_hits(verdict: DataFrame) -> DataFrame:
+    """What the line limits hit, from the rows of ``quality_rules``: host, lines (different ones above
+    the limits), documents (that lose a line and pass the base rules), depleted (of these, rejected)."""
+    lines = verdict.select("host", F.explode("removed").alias("h")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("lines"))
+    hit = verdict.filter("removed IS NOT NULL").groupBy("host").agg(F.count_if(~F.col("base_failed")).alias("documents"), F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("depleted"))
+    return lines.join(hit, "host")
+
+
 def apply_quality(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the rejected documents and without the lines above the limits."""
     verdict = quality_rules(docs, **limits)

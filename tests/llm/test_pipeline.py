@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+from draftgraph.llm import quality
 
 from .test_operators import make, none, prose  # noqa: F401
 
@@ -53,3 +54,17 @@ def test_suffix_stage_reaches_short_passages(spark):
     docs = make(spark, rows).drop("sha", "hash", "kept", "id")
     out = {r.doc_id: r.text for r in P.suffix_stage(spark, docs, "").collect()}
     assert all(190 < len(out[i].split()) <= 200 for i, _, _ in rows)
+
+
+def test_frequent_lines_stay_frequent_in_a_large_host(spark):
+    rng = random.Random(41)
+    line = "all rights reserved by the host"
+    rows = [(i, prose(rng, 40) + ("\n" + line if i < 30 else ""), "large") for i in range(400)]
+    rows += [(1000 + i, prose(rng, 40) + ("\n" + line if i < 30 else ""), "small") for i in range(60)]
+    rows += [(2000 + i, prose(rng, 40) + "\nheld by nine", "large") for i in range(9)]
+    docs = make(spark, rows).drop("sha", "hash", "kept", "id")
+    out = {r.doc_id: r.text for r in P.quality_stage(spark, docs, "").collect()}
+    assert len(out) == len(rows) and not any(line in t for t in out.values())
+    assert sum("held by nine" in t for t in out.values()) == 9
+    hits = {r.host: (r.lines, r.documents, r.depleted) for r in quality.limit_hits(quality.quality_rules(docs, max_share=0.0)).collect()}
+    assert hits == {"large": (1, 30, 0), "small": (1, 30, 0)}
