@@ -20,18 +20,11 @@ from .storage import materialize, shuffle_partitions
 HEAD_CHARS = 32
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None, normalize=None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    ``keep`` says which doc_id of equal texts stays, "smallest" or "largest"; ``normalize`` maps the
-    text column before comparison (default: no change).
-    """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep must be 'smallest' or 'largest'")
-    spark = docs.sparkSession
-    parts = partitions or shuffle_partitions(spark)
+def _dealt(docs: DataFrame, parts: int, normalize, *carried: Column) -> DataFrame:
+    """doc_id, t, sha, hot, salt, head and ``carried``, range-partitioned by content; texts of too many
+    rows are hot and have several salts."""
     text: Column = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), (normalize(text) if normalize else text).alias("t"))
+    rows = docs.select(F.col("doc_id"), (normalize(text) if normalize else text).alias("t"), *carried)
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("t"), 256)))
 
     per_text = materialize(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-counts")
@@ -39,29 +32,45 @@ def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None
     hot = F.broadcast(per_text.filter(F.col("n") * (4 * parts) > F.lit(total)).select("sha", F.lit(True).alias("hot")))
 
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(2 * parts))).otherwise(F.lit(0))
-    runs = (
+    kept = [c for c in rows.columns if c not in ("doc_id", "t", "sha")]
+    return (
         rows.join(hot, "sha", "left")
-        .select("doc_id", "t", "sha", F.coalesce("hot", F.lit(False)).alias("hot"), salt.cast("long").alias("salt"), F.substring("t", 1, HEAD_CHARS).alias("head"))
+        .select("doc_id", "t", "sha", *kept, F.coalesce("hot", F.lit(False)).alias("hot"), salt.cast("long").alias("salt"), F.substring("t", 1, HEAD_CHARS).alias("head"))
         .repartitionByRange(parts, "head", "sha", "salt")
     )
+
+
+def _equal(keep: str):
+    """The window of equal neighbours, the row that stays first."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be 'smallest' or 'largest'")
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    equal = Window.partitionBy("head", "sha", "salt", "t")
-    runs = runs.select(
+    return Window.partitionBy("head", "sha", "salt", "t"), order
+
+
+def _joined(hot_runs: DataFrame, keep: str) -> DataFrame:
+    """For each hot text, of the runs' first rows (sha, salt, run_keep, run_size): all_keep, all_size and
+    won, the salt of the run that has the row that stays."""
+    best = F.col("run_keep") if keep == "largest" else -F.col("run_keep")
+    first = F.max(F.struct(best.alias("best"), (-F.col("salt")).alias("order"), F.col("run_keep").alias("id"), F.col("salt").alias("won")))
+    return hot_runs.groupBy("sha").agg(first.alias("m"), F.sum("run_size").alias("all_size")).select("sha", F.col("m.id").alias("all_keep"), F.col("m.won").alias("won"), "all_size")
+
+
+def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None, normalize=None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``keep`` says which doc_id of equal texts stays, "smallest" or "largest"; ``normalize`` maps the
+    text column before comparison (default: no change).
+    """
+    equal, order = _equal(keep)
+    runs = _dealt(docs, partitions or shuffle_partitions(docs.sparkSession), normalize).select(
         "doc_id", "sha", "hot", "salt",
         F.row_number().over(equal.orderBy(order)).alias("rank"),
         F.first("doc_id").over(equal.orderBy(order)).alias("run_keep"),
         F.count(F.lit(1)).over(equal).alias("run_size"),
     )
     runs = materialize(runs, "dedup-runs")
-
-    best = F.col("run_keep") if keep == "largest" else -F.col("run_keep")
-    joined = (
-        runs.filter("hot AND rank = 1")
-        .groupBy("sha")
-        .agg(F.max(F.struct(best.alias("best"), (-F.col("salt")).alias("order"), F.col("run_keep").alias("id"), F.col("salt").alias("won"))).alias("m"), F.sum("run_size").alias("all_size"))
-        .select("sha", F.col("m.id").alias("all_keep"), F.col("m.won").alias("won"), "all_size")
-    )
-    out = runs.join(F.broadcast(joined), "sha", "left")
+    out = runs.join(F.broadcast(_joined(runs.filter("hot AND rank = 1"), keep)), "sha", "left")
     return out.select(
         "doc_id",
         F.when(F.col("hot"), F.col("all_keep")).otherwise(F.col("run_keep")).alias("keep_id"),
@@ -71,6 +80,19 @@ def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None
     )
 
 
+def deduplicate(docs: DataFrame, keep: str = "largest", partitions: int | None = None, normalize=None) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns: they go through the sort
+    with their text, so texts are shuffled once."""
+    equal, order = _equal(keep)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    runs = _dealt(docs, partitions or shuffle_partitions(docs.sparkSession), normalize, row)
+    first = runs.withColumn("rank", F.row_number().over(equal.orderBy(order))).filter("rank = 1").select("doc_id", "sha", "hot", "salt", "row")
+    first = materialize(first, "dedup-first")
+    won = _joined(first.filter("hot").select("sha", "salt", F.col("doc_id").alias("run_keep"), F.lit(0).alias("run_size")), keep).select("sha", "won")
+    out = first.join(F.broadcast(won), "sha", "left").filter("NOT hot OR salt = won")
+    return out.select("row.*")
+
+
 SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

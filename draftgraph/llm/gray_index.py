@@ -59,11 +59,15 @@ class _Sets:
             x = p[x]
         return x
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """The pairs that brought two sets together."""
+        took = []
         for x, y in zip(a.tolist(), b.tolist()):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                took.append((x, y))
+        return took
 
     def labels(self) -> np.ndarray:
         """The least member of each set; a parent is never larger than its child."""
@@ -81,25 +85,14 @@ def _distance(pattern, mask, a, b) -> np.ndarray:
     return np.bitwise_count(both).sum(axis=1, dtype=np.int32)
 
 
-def group_links(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of ``words`` (n x k, uint64) of equal ``group`` that differ in at most
-    ``radius`` bits: (row, row) pairs, each row with the first of its set in the group, so at most
-    one link a row. Rows reach each other by these links exactly when a chain of close rows joins
-    them."""
-    if len(words) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = gray_rank(words)
-    order = np.lexsort([rank[:, k] for k in reversed(range(rank.shape[1]))] + [group])
-    words, group = words[order], group[order]
-    sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group)))
-    alone = np.repeat(sizes == 1, sizes)
-    order, words, group = order[~alone], words[~alone], group[~alone]
+def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -> list[tuple[int, int]]:
+    """Bring together in ``sets`` the rows of equal ``group``, both in index order, that a chain of rows
+    within ``radius`` joins; the pairs that did it, in each batch the closest first."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sets = _Sets(n)
-    near = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(words[1:] ^ words[:-1]).sum(axis=1) <= radius))
-    sets.join(near, near + 1)
+    apart = np.bitwise_count(words[1:] ^ words[:-1]).sum(axis=1)
+    near = np.flatnonzero((group[1:] == group[:-1]) & (apart <= radius))
+    near = near[np.argsort(apart[near], kind="stable")]
+    took = sets.join(near, near + 1)
 
     levels = _levels(words, group)
     top = len(levels) - 1
@@ -122,12 +115,14 @@ def group_links(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
     while stack:
         level, a, b = stack.pop()
         pattern, mask, first, end = levels[level]
+        apart = _distance(pattern, mask, a, b)
         if level == 0:
-            keep = (a != b) & (_distance(pattern, mask, a, b) <= radius)
-            sets.join(a[keep], b[keep])
+            keep = np.flatnonzero((a != b) & (apart <= radius))
+            keep = keep[np.argsort(apart[keep], kind="stable")]
+            took += sets.join(a[keep], b[keep])
             continue
         one, label = uniform(level)
-        keep = ~(one[a] & one[b] & (label[a] == label[b])) & (_distance(pattern, mask, a, b) <= radius)
+        keep = ~(one[a] & one[b] & (label[a] == label[b])) & (apart <= radius)
         a, b = a[keep], b[keep]
         for start in range(0, len(a), FRONT // (FAN * FAN)):
             x, y = a[start : start + FRONT // (FAN * FAN)], b[start : start + FRONT // (FAN * FAN)]
@@ -138,6 +133,50 @@ def group_links(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
             cx, cy = first[x][pair] + i // ny[pair], first[y][pair] + i % ny[pair]
             half = cx <= cy
             stack.append((level - 1, cx[half], cy[half]))
+    return took
+
+
+def _sorted_groups(words: np.ndarray, group: np.ndarray):
+    """(order, words, group) in index order, without rows that are alone in their group."""
+    rank = gray_rank(words)
+    order = np.lexsort([rank[:, k] for k in reversed(range(rank.shape[1]))] + [group])
+    words, group = words[order], group[order]
+    sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group)))
+    alone = np.repeat(sizes == 1, sizes)
+    return order[~alone], words[~alone], group[~alone]
+
+
+NO_LINKS = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def group_links(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of ``words`` (n x k, uint64) of equal ``group`` that differ in at most
+    ``radius`` bits: (row, row) pairs, each row with the first of its set in the group, so at most
+    one link a row. Rows reach each other by these links exactly when a chain of close rows joins
+    them."""
+    if len(words) < 2:
+        return NO_LINKS
+    order, words, group = _sorted_groups(words, group)
+    if not len(order):
+        return NO_LINKS
+    sets = _Sets(len(order))
+    _join_near(words, group, radius, sets)
     label = sets.labels()
-    linked = np.flatnonzero(label != np.arange(n))
+    linked = np.flatnonzero(label != np.arange(len(order)))
     return order[linked], order[label[linked]]
+
+
+def group_forest(words: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the same links, of pairs that are themselves within the last of ``radii``
+    (ascending); rows that pairs within an earlier one join are joined by such pairs. At most one pair
+    a row and group."""
+    if len(words) < 2:
+        return NO_LINKS
+    order, words, group = _sorted_groups(words, group)
+    if not len(order):
+        return NO_LINKS
+    sets, took = _Sets(len(order)), []
+    for radius in radii:
+        took += _join_near(words, group, radius, sets)
+    pairs = np.array(took, np.int64).reshape(-1, 2)
+    return order[pairs[:, 0]], order[pairs[:, 1]]

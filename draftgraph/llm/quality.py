@@ -2,9 +2,9 @@
 
 Cross-document line frequency: every line is normalised (case folded, white space collapsed) and
 hashed; the distinct documents of a host that hold it are counted, texts that are equal counting
-once; a line is above the limits when at least ``min_docs`` documents and a share ``max_share`` of
-the host's documents hold it (a share of 0: the number alone, so that a line which is frequent in a
-small host stays so when the host grows). Such lines are removed, and a document of which less than
+once; a line is above the limit when at least ``min_docs`` documents hold it, and with ``max_share``
+only if that share of the host's documents does (0 by default: a line which is frequent in a small
+host stays so when the host grows). Such lines are removed, and a document of which less than
 ``min_left`` of its words is left is depleted and rejected.
 
 Only DataFrame functions. What is shuffled is one narrow row for each line, never text.
@@ -86,16 +86,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.groupBy("host", "h", "k1", "k2").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("times"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 10, max_share: float = 0.1, min_left: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 10, max_share: float = 0.0, min_left: float = 0.3) -> DataFrame:
     """Statistics and verdict for each row of ``docs``: doc_id, host, k1, k2 (keys of the text),
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed,
     removed (hashes of the lines to remove, null if none), kept."""
     base = materialize(_base(docs), "quality-base")
     lines = materialize(_lines(docs), "quality-lines")
     copies = base.groupBy("host", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    per_host = copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    above = materialize(frequent.join(per_host, "host").filter(F.col("n") >= F.col("host_docs") * F.lit(max_share)).select("host", "h"), "quality-above")
+    if max_share:
+        per_host = copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+        frequent = frequent.join(per_host, "host").filter(F.col("n") >= F.col("host_docs") * F.lit(max_share))
+    above = materialize(frequent.select("host", "h"), "quality-above")
     taken = lines.join(above, ["host", "h"]).groupBy("host", "k1", "k2").agg(F.sum(F.col("w") * F.col("times")).alias("taken"), F.collect_list("h").alias("removed"))
     taken = taken.join(copies, ["host", "k1", "k2"])
     taken = materialize(taken.select("host", "k1", "k2", F.floor(F.col("taken") / F.col("copies")).alias("words_removed"), "removed"), "quality-taken")
@@ -162,9 +164,7 @@ WITH d AS (
   SELECT host, t, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l, count(*) AS times
   FROM (SELECT DISTINCT host, t, ls FROM b) q, (SELECT unnest(q.ls) AS x) u GROUP BY ALL HAVING l <> ''
 ), above AS (
-  SELECT f.host, f.l FROM (SELECT host, l, count(*) AS n FROM line GROUP BY ALL) f
-  JOIN (SELECT host, count(DISTINCT t) AS host_docs FROM base GROUP BY host) h ON h.host = f.host
-  WHERE n >= 10 AND n >= host_docs * 0.1
+  SELECT host, l FROM line GROUP BY ALL HAVING count(*) >= 10
 ), taken AS (
   SELECT line.host, line.t, sum(times * len(string_split(line.l, ' '))) AS words_removed
   FROM line JOIN above ON above.host = line.host AND above.l = line.l GROUP BY ALL

@@ -5,13 +5,15 @@ A fingerprint has, for each bit, whether over half the hashes of a document's wo
 *Small radius* (``link``): two 64-bit fingerprints within two bits agree on at least two of four
 16-bit fields, so each different fingerprint goes to six groups, one for each pair of fields, and no
 link is lost. A group holds what agrees on 32 bits, and the Gray-order index finds the links in it.
+Groups give at most one link for each fingerprint they hold, never all pairs.
 
 *Similar shingle sets* (``near_groups``): at a similarity of 0.8 some 15 of 100 bits differ, which no
 set of exact fields survives, so fingerprints have 256 bits and go to groups keyed by sampled bits, in
-as many tables as let them meet (``tables_of``); the index finds pairs in each group that are within the
-radius of that similarity.
-
-Groups give at most one link for each fingerprint they hold, never all pairs.
+as many tables as let them meet (``tables_of``). In each group the index gives a spanning forest of the
+pairs within the radius, those below the difference expected at the similarity first, so a table gives
+at most one pair for each fingerprint. The fingerprint only proposes: a pair is a link if the similarity
+of the two texts' sets of shingles, counted exactly, reaches the bound, so the radius can lie two
+standard errors above what is expected.
 
 Results in odd cases: null and empty texts, and those of white space, have the fingerprint zero and
 are linked like any other; shorter documents than a shingle are hashed as one; a null doc_id has a
@@ -21,56 +23,75 @@ the same fingerprint and component; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .gray_index import group_links
+from .gray_index import group_forest, group_links
 from .storage import materialize, shuffle_partitions
 
 CHUNK = 1 << 16
+SEED, WORDS = 42, 4
 TABLES = 32  # at least
 MISS = 0.003
 
 
-def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
-    """One 64-bit word for each seed."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
+    """The XXH64 of each shingle, in parts."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
-    out = np.zeros(len(seeds), np.uint64)
     if not words:
-        return out
+        return
     joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    for k, seed in enumerate(seeds):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, CHUNK):
-            h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], ">u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > n).view(">u8")[0]
-    return out
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - shingle + 1)]
+    ends = ends[min(shingle, len(words)) - 1 :]
+    for at in range(0, len(starts), CHUNK):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())], np.uint64)
+
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th word of a hash of many words (0: the hash itself)."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id and fp, the fingerprint's bytes, of each row."""
+
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """``words`` 64-bit words; the first is the fingerprint of the shingles' XXH64."""
+    ones, n = np.zeros((words, 64), np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
+        for k in range(words):
+            ones[k] += np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1).view(">u8").reshape(words).astype(np.uint64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """doc_id, sha (the text's SHA-256) and fp, the fingerprint's bytes, of each row."""
 
     def run(rows):
         for batch in rows:
-            done = [fingerprint(t, shingle, seeds).astype(">u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.binary())], ["doc_id", "fp"])
+            done = [fingerprint(t, shingle, words).astype(">u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], ["doc_id", "sha", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha().alias("sha"), "text")
+    return rows.mapInArrow(run, "doc_id long, sha binary, fp binary")
+
+
+def text_sha() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
 def _field_keys(words: np.ndarray) -> list[np.ndarray]:
@@ -105,14 +126,10 @@ def _sampled_keys(bits: int, similarity: float = 0.8):
     return keys
 
 
-def _link(fps: DataFrame, keys, words: int, radius: int, spread: int = 1) -> DataFrame:
-    """Components over ``fps`` (doc_id, fp): doc_id, fp, component_id. Groups are dealt over ``spread``
-    times the shuffle partitions."""
-    spark = fps.sparkSession
-    parts = shuffle_partitions(spark)
-    fps = materialize(fps, "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(nodes, "fingerprint-nodes")
+def _candidates(nodes: DataFrame, keys, words: int, pairs, spread: int = 1) -> DataFrame:
+    """Pairs (a, b) of the ids of ``nodes`` (fp, id) that ``pairs`` finds in groups of equal keys, which
+    are dealt over ``spread`` times the shuffle partitions."""
+    parts = shuffle_partitions(nodes.sparkSession)
 
     def deal(rows):
         for batch in rows:
@@ -121,19 +138,17 @@ def _link(fps: DataFrame, keys, words: int, radius: int, spread: int = 1) -> Dat
                 for key in keys(w):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["key", "fp", "id"])
 
-    def links(rows):
+    def find(rows):
         held = [b for b in rows if b.num_rows]
         if held:
             t = pa.Table.from_batches(held)
             w = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
             ids = t["id"].to_numpy()
-            a, b = group_links(w, t["key"].to_numpy(), radius)
+            a, b = pairs(w, t["key"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
-    dealt = nodes.filter("id IS NOT NULL").select("fp", "id").mapInArrow(deal, "key long, fp binary, id long").repartition(parts * spread, "key")
-    found = components(dealt.mapInArrow(links, "a long, b long"))
-    of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "fingerprint-components")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    dealt = nodes.select("fp", "id").mapInArrow(deal, "key long, fp binary, id long").repartition(parts * spread, "key")
+    return dealt.mapInArrow(find, "a long, b long")
 
 
 def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -141,21 +156,59 @@ def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     links of at most ``radius`` (2 at most) differing bits."""
     if not 0 <= radius <= 2:
         raise ValueError("four fields find links of at most two differing bits")
-    out = _link(fingerprints(docs, shingle), _field_keys, 1, radius)
-    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    fps = materialize(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
+    found = components(_candidates(nodes.filter("id IS NOT NULL"), _field_keys, 1, lambda w, key: group_links(w, key, radius)))
+    of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "fingerprint-components")
+    return fps.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def radius_of(similarity: float, bits: int = 256) -> int:
-    """Differing bits expected at a Jaccard similarity of shingle sets, and one standard error more,
-    so that the fingerprint's noise does not lose pairs at the bound."""
+def radius_of(similarity: float, bits: int = 256, errors: float = 2.0) -> int:
+    """Differing bits expected at a Jaccard similarity of shingle sets, and so many standard errors more."""
     p = difference(similarity)
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + errors * (bits * p * (1 - p)) ** 0.5)
+
+
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """``texts`` (id, text) to id and the distinct hashes of its shingles."""
+
+    def run(rows):
+        for batch in rows:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose ``sets`` (id, shingles) have at least that Jaccard similarity."""
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return both.filter(F.col("i") >= (F.col("n") - F.col("i")) * F.lit(similarity - 1e-12)).select("a", "b")
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id, fp, component_id of documents whose sets of ``shingle`` words are similar. The number
-    of key bits follows the number of documents, so that groups keep their size as the corpus grows,
-    and the number of tables follows the bits, so that recall stays."""
+    """doc_id, sha (the text's SHA-256), component_id and kept of each row. Documents are one component
+    if a chain of texts joins them whose sets of ``shingle`` words are similar; component_id is its
+    least doc_id (null if all are null), and the row that has it and the least sha is kept (with any row
+    equal to it). The number of key bits follows the number of documents, so that groups keep their size
+    as the corpus grows, and the number of tables follows the bits, so that recall stays."""
     bits = key_bits(int(docs.count()))
     spread = -(-tables_of(bits, similarity) // TABLES)
-    return _link(fingerprints(docs, shingle, (42, 43, 44, 45)), _sampled_keys(bits, similarity), 4, radius_of(similarity), spread)
+    radii = (radius_of(similarity, errors=0), radius_of(similarity))
+    fps = materialize(fingerprints(docs, shingle, WORDS), "fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min("sha").alias("sha")).withColumn("id", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "fingerprint-nodes")
+    pairs = _candidates(nodes, _sampled_keys(bits, similarity), WORDS, lambda w, key: group_forest(w, key, radii), spread)
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+
+    ends = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "sha")
+    texts = docs.select(text_sha().alias("sha"), F.coalesce("text", F.lit("")).alias("text")).join(ends, "sha").dropDuplicates(["id"])
+    sets = materialize(shingle_sets(texts, shingle), "near-sets")
+    found = components(similar_pairs(pairs, sets, similarity))
+
+    of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("node")), "fingerprint-components")
+    rows = materialize(fps.join(of, "fp").select("doc_id", "sha", "node"), "near-rows")
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("best"))
+    return rows.join(best, "node").select("doc_id", "sha", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sha") == F.col("best.sha"))).alias("kept"))
