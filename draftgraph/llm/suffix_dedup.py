@@ -12,11 +12,14 @@ Wanted are the bytes covered by a string of ``length`` bytes that starts at two
    block of the collection's Burrows-Wheeler transform, and the common prefix with the suffix above is
    one more than the least over the old ranks between. Only suffixes of one round can be equal, as
    the documents are aligned, so a round's block is not merged into the earlier ones; each round reads
-   the last block (ranks, common prefixes) from one sequential file and writes the next to another.
+   the last block (ranks, common prefixes) and writes the next, in order, and then the last one is
+   dropped. Blocks are those of a batch of collections, which bounds them, so they stay in memory.
    A window is repeated where the common prefix with a neighbour is ``length`` or more.
 3. *Hot strings.* A string at over ``LIMIT`` places is dealt over many collections. Each then gives the
-   digests of its windows that have no equal in it, and of one of each set of equal ones; digests meet
-   by their value, packed so that rows stay few, and windows found elsewhere too are repeated.
+   digests of its windows that have no equal in it, and of one of each set of equal ones. Equal digests
+   are combined where they are made and then meet by their value, packed so that rows stay few: each is
+   a claim that a window is at another place too, and it holds once the bytes of both are compared. Bytes
+   that differ under equal digests of 128 bits fail the job, so no result rests on a digest alone.
 
 Texts that are equal as a whole are represented by one of them; those of ``length`` bytes or more are
 covered in full.
@@ -32,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .storage import materialize, shuffle_partitions
 
-LENGTH, ANCHOR, LIMIT, BATCH = 400, 200, 128, 20_000
+LENGTH, ANCHOR, LIMIT, BATCH, PART = 400, 200, 128, 20_000, 1 << 18
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PAD = 256
 WORDS, CODE = 51, 4
@@ -76,10 +78,19 @@ def rolling(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(hash, place, first window, last window) of each chosen string."""
-    if len(data) < length:
+    """(hash, place, first window, last window) of each chosen string, in order. Long texts are taken in
+    parts that overlap, so that memory does not follow their length."""
+    n = len(data) - length + 1
+    parts = [_anchors(data[at : at + PART + length - 1], length, anchor, at) for at in range(0, n, PART)]
+    if not parts:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, none
+    h, place, first, last = (np.concatenate(c) for c in zip(*parts))
+    new = np.concatenate([[True], place[1:] != place[:-1]])  # a string chosen on both sides of a border is one
+    return h[new], place[new], first[new], np.append(first[new][1:], n) - 1
+
+
+def _anchors(data: np.ndarray, length: int, anchor: int, offset: int):
     value = rolling(data, anchor)
     hashes, place = value, np.arange(len(value), dtype=np.int32)
     span, width = 1, length - anchor + 1
@@ -91,29 +102,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], len(place)) - 1
     at = place[first].astype(np.int64)
-    return hashes[at], at, first, last
-
-
-class _Block:
-    """The two files of a construction: the last round's block is read, the next one is written."""
-
-    def __init__(self, folder: str):
-        self.files = [open(f"{folder}/{name}", "w+b", buffering=0) for name in "ab"]
-
-    def write(self, *columns: np.ndarray) -> None:
-        self.files.reverse()
-        self.files[0].seek(0)
-        for c in columns:
-            self.files[0].write(c.tobytes())
-
-    def read(self, n: int, *kinds):
-        f = self.files[0]
-        f.seek(0)
-        return [np.frombuffer(f.read(n * np.dtype(k).itemsize), k) for k in kinds]
-
-    def close(self) -> None:
-        for f in self.files:
-            f.close()
+    return hashes[at], at + offset, first + offset, last + offset
 
 
 def _insert(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, group: np.ndarray):
@@ -140,7 +129,7 @@ def _insert(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, group: n
     return order, new, block
 
 
-def repeated_windows(contexts: list[bytes], place: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, length: int, anchor: int, folder: str):
+def repeated_windows(contexts: list[bytes], place: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, length: int, anchor: int):
     """For documents ``contexts`` (the bytes from window ``first`` to the end of window ``last``, with
     the anchor at ``place``), grouped by ``group`` (ascending from 0): a matrix of the windows that
     start k bytes before the anchor and are repeated in the group, and one of those that are the first
@@ -157,34 +146,22 @@ def repeated_windows(contexts: list[bytes], place: np.ndarray, first: np.ndarray
     back = place - first  # windows start this far before the anchor at most
     least = place - last
     group_start = np.concatenate([[True], group[1:] != group[:-1]])
-    files = _Block(folder)
-    files.write(np.arange(n, dtype=np.int32), np.zeros(n, np.int16))
     repeated = np.zeros((side + 1, n), bool)
     leader = np.zeros((side + 1, n), bool)
 
-    def rounds(symbols):
-        order, common = files.read(n, np.int32, np.int16)
-        order, common, block = _insert(order, common, symbols, group)
-        files.write(order.astype(np.int32), common, block)
-        return order, common
-
-    order = common = None
+    order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)
     for k in range(side - 1, -1, -1):
-        order, common = rounds(right[k])
+        order, common, _ = _insert(order, common, right[k], group)
     # the anchor's symbols are the same in a group: they keep the order and lengthen common prefixes
-    order, common = files.read(n, np.int32, np.int16)
-    inside = ~group_start  # the order keeps groups together, each in its place
-    common = np.where(inside, common + anchor, 0).astype(np.int16)
-    files.write(order, common, np.zeros(n, np.int16))
+    common = np.where(group_start, 0, common + anchor).astype(np.int16)  # the order keeps groups in their places
     for k in range(side + 1):
         if k:
-            order, common = rounds(left[k - 1])
+            order, common, _ = _insert(order, common, left[k - 1], group)
         above = common >= length
         below = np.append(above[1:], False)
         valid = (least[order] <= k) & (k <= back[order])
         repeated[k, order] = (above | below) & valid
         leader[k, order] = ~above & valid
-    files.close()
     return repeated, leader
 
 
@@ -295,8 +272,10 @@ def _contexts(length: int, salt_over: int):
 
 _CONTEXT = ["hash", "sub", "hot", "id", "place", "first", "last", "context", "starts", "ends"]
 CONTEXT = "hash long, sub int, hot boolean, id long, place int, first int, last int, context binary, starts array<int>, ends array<int>"
-_FOUND = [("id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("bucket", pa.int32()), ("digests", pa.binary())]
-FOUND = "id long, starts array<int>, ends array<int>, bucket int, digests binary"
+_INTS = pa.list_(pa.int32())
+_FOUND = [("id", pa.int64()), ("starts", _INTS), ("ends", _INTS), ("other", pa.int64()), ("ats", _INTS), ("bucket", pa.int32()), ("digests", pa.binary())]
+#: covered intervals of text ``id``; with ``other``, claims that the same bytes are in that text from ``ats`` on
+FOUND = "id long, starts array<int>, ends array<int>, other long, ats array<int>, bucket int, digests binary"
 #: a window of a hot string: two hashes, its document, its start, its collection, whether it asks
 _WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("start", "<i4"), ("sub", "<i4"), ("asks", "<i4")])
 
@@ -305,12 +284,13 @@ def _columns(length: int, anchor: int, buckets: int):
     """Groups of contexts, sorted, to covered intervals of documents and digests of hot windows."""
 
     def work(rows: list[tuple], digests: list[np.ndarray]):
-        """``rows`` sorted by (hash, sub, id, place), all of a group together."""
-        rows = [r for i, r in enumerate(rows) if i == 0 or (r[0], r[1], r[3], r[4]) != (rows[i - 1][0], rows[i - 1][1], rows[i - 1][3], rows[i - 1][4])]
-        group = np.cumsum([0] + [int(a[:2] != b[:2]) for a, b in zip(rows[1:], rows)])
+        """``rows`` sorted by (hash, sub, id, place), all of a group together; strings that differ under
+        one hash are groups of their own."""
+        chosen = lambda r: r[7][r[4] - r[5] : r[4] - r[5] + anchor]
+        rows = sorted(rows, key=lambda r: (r[0], r[1], chosen(r), r[3], r[4]))
+        group = np.cumsum([0] + [int(a[:2] != b[:2] or chosen(a) != chosen(b)) for a, b in zip(rows[1:], rows)])
         place, first, last = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        with tempfile.TemporaryDirectory() as folder:
-            repeated, leader = repeated_windows([r[7] for r in rows], place, first, last, group, length, anchor, folder)
+        repeated, leader = repeated_windows([r[7] for r in rows], place, first, last, group, length, anchor)
         ids, starts, ends = [], [], []
         for i in np.flatnonzero(repeated.any(axis=0)).tolist():
             a, b = _runs(repeated[:, i])  # a start k bytes before the anchor is at place - k
@@ -330,12 +310,14 @@ def _columns(length: int, anchor: int, buckets: int):
         return ids, starts, ends
 
     def packed(digests: list[np.ndarray]):
-        w = np.concatenate(digests)
+        columns, w = _claims(np.concatenate(digests), length)
+        if columns[0]:
+            yield _batch(*columns)
         bucket = (w["h"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         w, bucket = w[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        return bucket[cuts].astype(np.int32).tolist(), [x.tobytes() for x in np.split(w, cuts[1:])]
+        yield _batch(bucket=bucket[cuts].astype(np.int32).tolist(), digests=[x.tobytes() for x in np.split(w, cuts[1:])])
 
     def run(rows):
         held: list[tuple] = []
@@ -350,7 +332,7 @@ def _columns(length: int, anchor: int, buckets: int):
                 ends.append(r[9])
             told.clear()
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip((ids, starts, ends, [None] * len(ids), [None] * len(ids)), _FOUND)], [n for n, _ in _FOUND])
+                yield _batch(ids, starts, ends)
 
         for batch in rows:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -362,34 +344,53 @@ def _columns(length: int, anchor: int, buckets: int):
                     held = []
                 held.append(row)
             if sum(map(len, digests)) > 2_000_000:
-                yield _digest_batch(*packed(digests))
+                yield from packed(digests)
                 digests.clear()
         if held or told:
             yield from flush(held)
         if digests:
-            yield _digest_batch(*packed(digests))
+            yield from packed(digests)
 
     return run
 
 
-def _digest_batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    none = [None] * len(buckets)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip((none, none, none, buckets, blobs), _FOUND)], [n for n, _ in _FOUND])
+def _batch(*columns: list, **named: list) -> pa.RecordBatch:
+    given = dict(zip((n for n, _ in _FOUND), columns)) | named
+    n = len(next(iter(given.values())))
+    return pa.RecordBatch.from_arrays([pa.array(given.get(name, [None] * n), kind) for name, kind in _FOUND], [name for name, _ in _FOUND])
+
+
+def _claims(w: np.ndarray, length: int):
+    """Windows to the claims of those that ask and have an equal digest beside them (columns id, starts,
+    ends, other, ats; windows that follow each other are one interval), and to one of each digest, which
+    asks no more if it was answered."""
+    w = w[np.lexsort((w["start"], w["id"], w["g"], w["h"]))]
+    new = np.concatenate([[True], (w["h"][1:] != w["h"][:-1]) | (w["g"][1:] != w["g"][:-1])])
+    shared = ~new | ~np.append(new[1:], True)
+    index = np.arange(len(w))
+    other = np.where(new, index + 1, np.maximum.accumulate(np.where(new, index, 0)))
+    asking = np.flatnonzero(shared & (w["asks"] == 1))
+    one, two = w[asking], w[other[asking]]
+    order = np.lexsort((two["start"] - one["start"], one["start"], two["id"], one["id"]))
+    one, two = one[order], two[order]
+    columns: list[list] = [[], [], [], [], []]
+    if len(one):
+        key = np.concatenate([[True], (one["id"][1:] != one["id"][:-1]) | (two["id"][1:] != two["id"][:-1])])
+        run = key | np.concatenate([[True], (np.diff(one["start"]) != 1) | (np.diff(two["start"]) != 1)])
+        a = np.flatnonzero(run)
+        b = np.append(a[1:], len(one)) - 1
+        rows = np.flatnonzero(key[a])
+        columns = [one["id"][a][rows].tolist(), *([x.tolist() for x in np.split(c, rows[1:])] for c in (one["start"][a], one["start"][b] + length)), two["id"][a][rows].tolist(), [x.tolist() for x in np.split(two["start"][a], rows[1:])]]
+    left = w[new].copy()
+    left["asks"] = np.where(shared[new], 0, left["asks"])
+    return columns, left
 
 
 def _answers(length: int):
-    """Packed digests, sorted by bucket, to the windows whose digest another collection has too."""
+    """Packed digests, sorted by bucket, to claims."""
 
     def answer(blobs: list[bytes]):
-        w = np.concatenate([np.frombuffer(b, _WINDOW) for b in blobs])
-        w = w[np.lexsort((w["g"], w["h"]))]
-        same = (w["h"][1:] == w["h"][:-1]) & (w["g"][1:] == w["g"][:-1])
-        w = w[(np.append(same, False) | np.concatenate([[False], same])) & (w["asks"] == 1)]
-        w = w[np.lexsort((w["start"], w["id"]))]
-        cuts = np.flatnonzero(np.concatenate([[True], w["id"][1:] != w["id"][:-1]])) if len(w) else []
-        parts = np.split(w, cuts[1:]) if len(w) else []
-        columns = [[int(p["id"][0]) for p in parts], [p["start"].tolist() for p in parts], [(p["start"] + length).tolist() for p in parts]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _FOUND)], ["id", "starts", "ends"])
+        return _batch(*_claims(np.concatenate([np.frombuffer(b, _WINDOW) for b in blobs]), length)[0])
 
     def run(rows):
         bucket, blobs = None, []
@@ -406,6 +407,17 @@ def _answers(length: int):
     return run
 
 
+def _proved(claims: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, starts, ends of the claims, whose bytes are compared; the narrow rows meet the other text, of
+    which there may be many claims, first."""
+    data = F.col("text").cast("binary")
+    piece = lambda at: F.transform(F.arrays_zip(F.col(at).alias("at"), (F.transform(F.arrays_zip("starts", "ends"), lambda x: x["ends"] - x["starts"])).alias("n")), lambda x: F.substring(data, x["at"] + 1, x["n"]))
+    seen = claims.join(texts.select(F.col("id").alias("other"), "text"), "other").select("id", "starts", "ends", piece("ats").alias("pieces"))
+    seen = seen.join(texts.select("id", "text"), "id")
+    equal = F.col("pieces") == piece("starts")
+    return seen.select("id", F.when(equal, F.col("starts")).otherwise(F.raise_error(F.lit("different strings of one digest: choose other FACTORS"))).alias("starts"), "ends")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables. Rows: doc_id, sha (of the text), n_bytes. Texts of several rows: sha. Texts that
     hold repeated strings, one row each: sha, text, starts, ends (covered half-open intervals of its
@@ -435,15 +447,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     contexts = contexts.repartition(parts, "hash", "sub").sortWithinPartitions("hash", "sub", "id", "place")
     found = materialize(contexts.mapInArrow(_columns(length, anchor, 4 * parts), FOUND), "windows")
     digests = found.filter("digests IS NOT NULL").select("bucket", "digests").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    more = digests.mapInArrow(_answers(length), "id long, starts array<int>, ends array<int>")
-    spans = found.filter("id IS NOT NULL").select("id", "starts", "ends").union(more)
+    more = digests.mapInArrow(_answers(length), FOUND)
+    claims = found.filter("other IS NOT NULL").union(more).select("id", "starts", "ends", "other", "ats")
+    spans = found.filter("id IS NOT NULL AND other IS NULL").select("id", "starts", "ends").union(_proved(claims, texts))
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spans = texts.select("sha", "id", "text").join(spans, "id").select("sha", "text", "starts", "ends")
     return base, copied, spans
 
 
-def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit: int = LIMIT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; n_passage_words tells how many of
+    its words are in runs of ``words`` and more that are elsewhere too, which may be shorter than
+    ``length`` bytes and then stay."""
     base, copied, spans = repeated_spans(docs, length, anchor, limit)
 
     def run(rows):
@@ -457,7 +472,7 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["sha", "n_removed", "n_spans", "kept_sha256"])
 
     cut_texts = spans.mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string")
-    known = copied.withColumn("copied", F.lit(True)).join(cut_texts, "sha", "full")
+    known = copied.withColumn("copied", F.lit(True)).join(cut_texts, "sha", "full").join(passage_words(docs, words, limit), "sha", "full")
     known = materialize(known, "texts-cut")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
@@ -466,6 +481,7 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"),
     )
 
 
@@ -510,64 +526,91 @@ def word_codes(data: bytes, words: int = WORDS, length: int = LENGTH) -> tuple[b
     return code, bool((ends[words + 1 :] - starts[: -words - 1] - 2 >= length).any())
 
 
-def passage_spans(data: bytes, codes: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, int]]:
-    """Covered intervals of a text's codes to those of its bytes that hold ``words`` words, each with the
-    white space behind it."""
+def word_runs(starts, ends, words: int = WORDS) -> list[tuple[int, int]]:
+    """Covered intervals of a text's codes to the runs of its words that they hold; runs of fewer than
+    ``words`` words go."""
+    runs = [x for x in ((-(-a // CODE), b // CODE) for a, b in zip(starts or (), ends or ())) if x[1] - x[0] >= words]
+    return merge([a for a, _ in runs], [b for _, b in runs])
+
+
+def passage_spans(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words to their bytes, each with the white space behind it."""
     spans = [m.span() for m in WORD.finditer(data)]
-    out = []
-    for start, end in codes:
-        a, b = -(-start // CODE), end // CODE
-        if b - a >= words:
-            out.append((spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]))
-    return out
+    return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in runs]
 
 
-def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
-    """``docs`` without runs of ``words`` words or more that are at two places or more, whatever their
-    length in bytes, and without repeated strings of ``length`` bytes in which there are fewer words."""
+def coded_texts(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> DataFrame:
+    """sha, code (of the words) and wide (the text, if it can repeat strings that hold fewer words) of
+    each row that has a text."""
 
     def coded(rows):
         for batch in rows:
             codes, wide = [], []
-            texts = batch.column(1).to_pylist()
-            for text in texts:
+            for text in batch.column(1).to_pylist():
                 code, few = word_codes(text.encode(), words, length)
                 codes.append(code)
                 wide.append(text if few else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(wide, pa.string())], ["sha", "code", "wide"])
 
+    rows = docs.filter("text IS NOT NULL").select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    return materialize(rows.mapInArrow(coded, "sha binary, code binary, wide string"), "word-codes")
+
+
+def _found(texts: DataFrame, size: int, anchor: int, limit: int, key: str, names: tuple[str, str, str]) -> DataFrame:
+    """For each text that has some: its ``key`` (SHA-256), starts and ends of repeated strings, and
+    whether it is repeated as a whole."""
+    texts = texts.filter(F.octet_length("text") >= size).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    _, copied, spans = repeated_spans(texts, size, anchor, limit)
+    spans = spans.select(F.col("sha").alias(key), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
+    return spans.join(copied.select(F.col("sha").alias(key), F.lit(True).alias(names[2])), key, "full")
+
+
+def repeated_passages(coded: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
+    """For each different text that shares a run of ``words`` words with another place: __sha, __n_words,
+    and of its codes __w_starts, __w_ends or __w_all (the sequence of words is another row's too)."""
+    found = _found(coded.select(F.col("code").alias("text")), CODE * words, CODE * (words // 2), limit, "__code", ("__w_starts", "__w_ends", "__w_all"))
+    codes = coded.filter(F.octet_length("code") >= CODE * words)
+    codes = codes.select(F.col("sha").alias("__sha"), F.unhex(F.sha2("code", 256)).alias("__code"), (F.octet_length("code") / CODE).cast("long").alias("__n_words"))
+    return codes.distinct().join(found, "__code").drop("__code")
+
+
+def passage_words(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
+    """sha and n_passage_words, the words in repeated runs of ``words`` and more, of each text that has some."""
+
+    def count(rows):
+        for batch in rows:
+            n = [all_words if whole else sum(b - a for a, b in word_runs(starts, ends, words)) for all_words, starts, ends, whole in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["sha", "n_passage_words"])
+
+    found = repeated_passages(coded_texts(docs, words), words, limit)
+    return found.select("__sha", "__n_words", "__w_starts", "__w_ends", "__w_all").mapInArrow(count, "sha binary, n_passage_words long")
+
+
+def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
+    """``docs`` without runs of ``words`` words or more that are at two places or more, whatever their
+    length in bytes, and without repeated strings of ``length`` bytes in which there are fewer words."""
+
     def cut_rows(rows):
         for batch in rows:
             n = len(batch.schema.names) - 7
             texts, changed = batch.column("text").to_pylist(), [False] * batch.num_rows
-            for i, (w_starts, w_ends, w_all, starts, ends, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n + 1 :]))):
+            for i, (n_words, w_starts, w_ends, w_all, starts, ends, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n:]))):
                 if not (w_starts or w_all or starts or whole):
                     continue
                 data = texts[i].encode()
-                spans = passage_spans(data, [(0, CODE * len(WORD.findall(data)))] if w_all else list(zip(w_starts or (), w_ends or ())), words)
+                spans = passage_spans(data, [(0, n_words)] if w_all else word_runs(w_starts, w_ends, words))
                 spans += [(0, len(data))] if whole else list(zip(starts or (), ends or ()))
                 if spans:
                     texts[i], changed[i] = cut(data, merge(*zip(*spans)), whole_characters=True).decode(), True
             columns = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(batch.schema.names[:n], batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*batch.schema.names[:n], "__cut"])
 
+    coded = coded_texts(docs, words, length)
+    by_text = _found(coded.filter("wide IS NOT NULL").select(F.col("wide").alias("text")), length, ANCHOR, limit, "__sha", ("__starts", "__ends", "__all"))
+    cuts = materialize(repeated_passages(coded, words, limit).join(by_text, "__sha", "full"), "passages")
+
+    named = ["__n_words", "__w_starts", "__w_ends", "__w_all", "__starts", "__ends", "__all"]
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    nobody = F.lit(None).cast("long").alias("doc_id")
-    base = docs.filter("text IS NOT NULL").select(sha.alias("sha"), "text").mapInArrow(coded, "sha binary, code binary, wide string")
-    base = materialize(base, "word-codes")
-
-    def found(texts: DataFrame, size: int, anchor: int, key: str, names: tuple[str, str, str]) -> DataFrame:
-        _, copied, spans = repeated_spans(texts.filter(F.octet_length("text") >= size), size, anchor, limit)
-        spans = spans.select(F.col("sha").alias(key), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
-        return spans.join(copied.select(F.col("sha").alias(key), F.lit(True).alias(names[2])), key, "full")
-
-    by_code = found(base.select(nobody, F.col("code").alias("text")), CODE * words, CODE * (words // 2), "__code", ("__w_starts", "__w_ends", "__w_all"))
-    codes = base.filter(F.octet_length("code") >= CODE * words).select(F.col("sha").alias("__sha"), F.unhex(F.sha2("code", 256)).alias("__code"))
-    by_code = codes.distinct().join(by_code, "__code").drop("__code")
-    by_text = found(base.filter("wide IS NOT NULL").select(nobody, F.col("wide").alias("text")), length, ANCHOR, "__sha", ("__starts", "__ends", "__all"))
-    cuts = materialize(by_code.join(by_text, "__sha", "full"), "passages")
-
-    named = ["__sha", "__w_starts", "__w_ends", "__w_all", "__starts", "__ends", "__all"]
     out = docs.withColumn("__sha", sha).join(cuts, "__sha", "left").select(*docs.columns, *named)
     out = out.mapInArrow(cut_rows, StructType([*docs.schema.fields, StructField("__cut", BooleanType())]))
     if "n_chars" in docs.columns:

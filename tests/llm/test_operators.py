@@ -126,15 +126,80 @@ def brute_removal(corpus, length):
     return out
 
 
+def brute_long(corpus, length, base=257, mod=(1 << 61) - 1):
+    """As brute_removal for long texts: windows by a running hash, compared as bytes where it is equal."""
+    at = defaultdict(list)
+    data = [(x or "").encode() for _, x, _ in corpus]
+    high = pow(base, length - 1, mod)
+    for d, b in enumerate(data):
+        h = 0
+        for k, c in enumerate(b):
+            if k >= length:
+                h -= b[k - length] * high
+            h = (h * base + c) % mod
+            if k >= length - 1:
+                at[h].append((d, k - length + 1))
+    out = Counter()
+    marks = [np.zeros(len(b) + 1, int) for b in data]
+    for places in at.values():
+        if len(places) > 1:
+            assert len({data[d][k : k + length] for d, k in places}) == 1
+            for d, k in places:
+                marks[d][k] += 1
+                marks[d][k + length] -= 1
+    for (i, _, _), b, mark in zip(corpus, data, marks):
+        gone = np.cumsum(mark)[:-1] > 0
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[(i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())] += 1
+    return out
+
+
 @pytest.mark.parametrize("length, anchor, limit", [(400, 200, 256), (60, 24, 2)])
 def test_removal(docs, corpus, length, anchor, limit):
     small = [r for r in corpus if len(r[1] or "") < 20000]
     d = docs.filter("text IS NULL OR length(text) < 20000")
-    out = suffix_dedup.removal(d, length, anchor, limit).collect()
+    words = 51 if length == 400 else 12
+    out = suffix_dedup.removal(d, length, anchor, limit, words).collect()
+    left = brute_passages([t or "" for _, t, _ in small], words)
+    assert Counter((r.doc_id, r.n_passage_words) for r in out) == Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) - len(w)) for (i, t, _), w in zip(small, left))
+    assert any(r.n_passage_words for r in out)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_removal(small, length)
     assert any(0 < r.n_removed < r.n_bytes for r in out)
 
 
+def test_removal_of_hot_strings_and_long_texts(spark):
+    """At the lengths of production: a string at over LIMIT places with whole and half equal sides, a text
+    of several parts (PART) that repeats passages of its own and of others across the borders."""
+    rng = random.Random(17)
+    hot, side = prose(rng, 102), prose(rng, 120)
+    assert 400 < len(hot) < 420
+    rows = [(i, prose(rng, 30 + i % 7) + " " + (side + " " if i % 3 == 0 else "") + hot + " " + (side[:150] if i % 2 else "") + prose(rng, 25), "s") for i in range(2 * suffix_dedup.LIMIT + 90)]
+    own = prose(rng, 100)
+    long = prose(rng, 150000)
+    cut = suffix_dedup.PART - 300
+    long = long[:cut] + own + long[cut : 2 * cut] + own + hot + long[2 * cut :]
+    assert len(long) > 2 * suffix_dedup.PART
+    rows += [(900, long, "s"), (901, long[cut - 500 : cut + 1200], "s"), (902, "ab" * 5000, "s")]
+    out = suffix_dedup.removal(make(spark, rows).repartition(6)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_long(rows, 400)
+
+
+def test_word_runs():
+    assert suffix_dedup.word_runs([1, 8], [205, 212]) == [(2, 53)] and suffix_dedup.word_runs([1], [205]) == [] == suffix_dedup.word_runs(None, None)
+    assert suffix_dedup.word_runs([0, 4, 400], [204, 300, 604]) == [(0, 75), (100, 151)]
+
+
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    data[3000:3400] = 97
+    whole = suffix_dedup.anchors(data, 60, 24)
+    assert whole[2].tolist() == [0, *(whole[3][:-1] + 1).tolist()] and whole[3][-1] == 4940
+    for part in (1, 59, 100, 4941):
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        assert all((x == y).all() for x, y in zip(whole, suffix_dedup.anchors(data, 60, 24)))
+
+
 def test_removal_keeps_characters(docs, none):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
