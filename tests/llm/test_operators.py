@@ -515,13 +515,61 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-def test_chat_finds_rewriting():
-    def last_only(turns):
-        return "".join(f"<{r}>{t if k == len(turns) - 1 else '...'}" for k, (r, t) in enumerate(turns))
-
-    turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
-    assert [s.rewrites for s in chat.spans(turns, last_only)] == [False, True, True]
-    assert "".join(s.added for s in chat.spans(turns * 20, chat.marked_template)) == chat.marked_template(turns * 20)
+def last_only(turns):
+    return "".join(f"<{r}>{t if k == len(turns) - 1 else '...'}" for k, (r, t) in enumerate(turns))
+
+
+def start_mark(turns):
+    return "<begin>" + "".join(f"<{r}>{t}" for r, t in turns)
+
+
+def last_twenty(turns):
+    return "".join(f"<{r}>{t}|" for r, t in turns[-20:])
+
+
+def previous_role(turns):
+    return "".join(f"<{r} after {turns[k - 1][0] if k else 'none'}>{t}|" for k, (r, t) in enumerate(turns))
+
+
+def prefix_spans(turns, render):
+    """The definition: each prefix's output against the one before."""
+    outs = [""] + [render(turns[: k + 1]) for k in range(len(turns))]
+    return [(not b.startswith(a), b[len(a) :] if b.startswith(a) else None) for a, b in zip(outs, outs[1:])]
+
+
+@pytest.mark.parametrize("render", [chat.marked_template, last_only, start_mark, last_twenty, previous_role])
+def test_chat_spans_of_whole_prefixes(spark, render):
+    rng = random.Random(13)
+    talks = {c: [("assistant" if k % 2 else "user", f"{prose(rng, 3)} {k}") for k in range(n)] for c, n in ((1, 40), (2, 1), (3, 300), (4, 21))}
+    df = spark.createDataFrame([(c, k, r, t) for c, turns in talks.items() for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    want = {c: prefix_spans(turns, render) for c, turns in talks.items()}
+    for parts in (1, 7):
+        made = {r.conv_id: r for r in chat.formatted_parts(df.repartition(parts), chat.Template(render)).collect()}
+        for c, turns in talks.items():
+            assert made[c].formatted == render(turns) and [s.rewrites for s in made[c].spans] == [x for x, _ in want[c]]
+            if not any(x for x, _ in want[c]):
+                assert [made[c].formatted[s.start : s.end] for s in made[c].spans] == [x for _, x in want[c]]
+                assert [made[c].formatted[s.text_start : s.text_end] for s in made[c].spans if s.text_start is not None] == [t for r, t in turns if r == "assistant"]
+        out = {r.conv_id: r for r in chat.format_conversations(df.repartition(parts), chat.Template(render)).collect()}
+        assert {c: (out[c].n_turns, out[c].rewrites) for c in talks} == {c: (len(turns), sum(x for x, _ in want[c])) for c, turns in talks.items()}
+
+
+def test_chat_declared_memory(spark):
+    """A right declaration gives the whole rendering, a wrong one is reported; neither depends on partitions."""
+    rng = random.Random(14)
+    turns = [(rng.choice(["user", "assistant", "system"]), prose(rng, 4)) for _ in range(1500)]
+    for render, memory, right in ((chat.marked_template, 0, True), (previous_role, 1, True), (previous_role, 3, True), (previous_role, 0, False), (start_mark, 1, True), (start_mark, 0, False), (last_twenty, 10, False)):
+        found = list(chat.spans(turns, chat.Template(render, memory)))
+        assert any(s.rewrites for s in found) != right
+        if right:
+            assert "".join(s.added for s in found) == render(turns)
+            assert [s.added[s.text[0] : s.text[1]] for s in found if s.text] == [t for r, t in turns if r == "assistant"]
+    df = spark.createDataFrame([(5, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for parts in (2, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        rows = sorted(chat.formatted_parts(df, chat.Template(previous_role, 1)).collect(), key=lambda r: (r.task, r.part))
+        assert "".join(r.formatted for r in rows) == previous_role(turns) and not any(s.rewrites for r in rows for s in r.spans)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @settings(max_examples=200, deadline=None)
