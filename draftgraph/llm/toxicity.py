@@ -5,14 +5,15 @@ texts, under a Dirichlet prior; tokens that tell nothing cost ``DRIFT``. One lin
 maximal segment of a text's scores (those that no longer or shorter neighbour beats): its toxic
 passages. Under the scores' distribution in clean texts the best segment of n tokens follows an
 extreme-value law with parameters lambda and K; a segment's excess ``lambda * S - ln(K * n)`` is its
-significance, whatever the text's length. A document has the excess of its best segment and the root of the sum of all
-significant ones, and a logistic curve, fitted on labelled texts whose tokens were not counted, maps
-these two to a score.
+significance, whatever the text's length. A document has the excess of its best segment (its inverse
+hyperbolic sine) and the root of the sum of all significant ones, and a logistic curve, fitted on
+labelled texts whose tokens were not counted, maps these two to a score. Neither is clipped.
 
 Learning takes at most ``SAMPLE`` labelled documents, those with the least hash of their id, so what
-is broadcast is bounded; at most ``VOCABULARY`` tokens are kept. Every whole text is scored.
+is broadcast, their telling tokens, is bounded by what is in them; all of these are kept. Every whole
+text is scored.
 
-Results in odd cases: a null or empty text has the least statistics there are, and their score; null or
+Results in odd cases: a null or empty text scores like a text of one token that tells nothing; null or
 missing labels are not learned from, of several labels the largest counts; repeated rows have equal
 scores; without labels of both kinds every score is 0; an empty table gives no rows.
 """
@@ -22,16 +23,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from math import exp, log
+from math import asinh, exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, VOCABULARY = 30_000, 50_000
+SAMPLE = 30_000
 DRIFT, PRIOR, CONFIDENCE, LEAST_Z = 0.7, 0.5, 1.64, 2.5
-LOW, BEST, SUM, PENALTY = -10.0, 20.0, 400.0, 0.1
+PENALTY = 0.1
 TOKEN = re.compile(r"\w+")
 
 
@@ -67,28 +68,29 @@ class Model:
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     fitted: bool = False
 
+    def base(self, n: int) -> float:
+        """What a segment's scaled score in ``n`` tokens has to exceed."""
+        return log(self.size * max(1, n))
+
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
         """(start, end, excess) of each maximal segment; significant where the excess is above 0."""
-        if not words:
-            return []
         get = self.scores.get
-        base = log(self.size * len(words))
         found = segments(np.fromiter((get(w, -DRIFT) for w in words), np.float64, len(words)))
-        return [(a, b, self.rate * s - base) for a, b, s in found]
+        return [(a, b, self.rate * s - self.base(len(words))) for a, b, s in found]
 
     def statistics(self, words: list[str]) -> tuple[float, float]:
-        """The best segment's excess, in fives, and the root of the sum of the significant ones."""
+        """The best segment's excess (of a score of 0 if there is none) on a scale that grows slowly on
+        both sides, and the root of the sum of the significant ones."""
         excess = [x for _, _, x in self.passages(words)]
-        if not excess:
-            return LOW / 5, 0.0
-        return max(LOW, min(BEST, max(excess))) / 5, min(SUM, sum(x for x in excess if x > 0)) ** 0.5
+        return asinh(max(excess, default=-self.base(len(words)))), sum(x for x in excess if x > 0) ** 0.5
 
     def score(self, words: list[str]) -> float:
         if not self.fitted:
             return 0.0
         best, root = self.statistics(words)
         a, b, c = self.weights
-        return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, a + b * best + c * root))))
+        z = a + b * best + c * root
+        return 1.0 / (1.0 + exp(-z)) if z >= 0 else 1.0 - 1.0 / (1.0 + exp(z))
 
 
 def _rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -155,26 +157,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = F.log((F.col("t") + a) / (F.lit(nt + total) - F.col("t") - a)) - F.log((F.col("c") + a) / (F.lit(nc + total) - F.col("c") - a))
     spread = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
     kept = counted.select("token", "t", "c", odds.alias("odds"), spread.alias("spread")).filter((F.col("odds") / F.col("spread") >= LEAST_Z) & (F.col("odds") - CONFIDENCE * F.col("spread") > 0))
-    kept = kept.orderBy((F.col("odds") / F.col("spread")).desc(), "token").limit(VOCABULARY).collect()
+    kept = kept.collect()  # telling tokens of at most `sample` documents
     counted.unpersist()
     model = Model({r.token: r.odds - CONFIDENCE * r.spread for r in kept})
     values = np.array([*model.scores.values(), -DRIFT])
     share = np.array([(r.c + PRIOR) / (nc + total) for r in kept])
     model.rate = _rate(values, np.append(share, max(0.0, 1 - share.sum())))
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def best(parts):
+        scores = sent.value.scores
         for batch in parts:
             words = [tokens(t) for t in batch.column(0).to_pylist()]
-            top = [max((s for _, _, s in segments([model.scores.get(w, -DRIFT) for w in x])), default=0.0) for x in words]
+            top = [max((s for _, _, s in segments([scores.get(w, -DRIFT) for w in x])), default=0.0) for x in words]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(x) for x in words], pa.int64()), pa.array(top, pa.float64())], ["toxic", "n", "best"])
 
     held = rows.filter("fold = 3").select("text", "toxic").persist()
     clean = held.filter("toxic = 0").mapInArrow(best, "toxic int, n long, best double").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-F.lit(model.rate) * F.col("best"))).alias("s")).first()
     model.size = max(1e-6, clean.m / clean.s) if clean.s else 1.0
 
+    sized = docs.sparkSession.sparkContext.broadcast(model)
+
     def measure(parts):
+        m = sized.value
         for batch in parts:
-            both = [model.statistics(tokens(t)) for t in batch.column(0).to_pylist()]
+            both = [m.statistics(tokens(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())], ["toxic", "best", "root"])
 
     found = held.mapInArrow(measure, "toxic int, best double, root double").collect()  # at most a third of `sample`
@@ -194,7 +202,7 @@ def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, with_passages: bool = False) -> DataFrame:
     """doc_id, score and predicted; with passages: (start, end, excess) of each significant one, in
     characters of the lower-cased text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY tokens
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the telling tokens of the learned sample
 
     def run(parts):
         m = sent.value

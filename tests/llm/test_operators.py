@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -593,9 +594,32 @@ def test_maximal_segments(scores):
         i, j = top[3], top[4]
         return best(a, i) + [(i, j, float(top[0]))] + best(j, b)
 
-    found = toxicity.segments(scores)
-    assert sum(s for _, _, s in found) == sum(s for _, _, s in best(0, len(scores)))
-    assert max((s for _, _, s in found), default=0) == max((s for _, _, s in best(0, len(scores))), default=0)
+    assert toxicity.segments(scores) == best(0, len(scores))
+
+
+def brute_score(model, words):
+    """The score from its definition, with segments by the recursive one."""
+    if not model.fitted:
+        return 0.0
+    values = [model.scores.get(w, -toxicity.DRIFT) for w in words]
+
+    def best(a, b):
+        cells = [(round(sum(values[i:j]), 9), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        top = max(cells, default=(0,))
+        return best(a, top[3]) + [top[0]] + best(top[4], b) if top[0] > 0 else []
+
+    base = math.log(model.size * max(1, len(words)))
+    excess = [model.rate * x - base for x in best(0, len(words))]
+    a, b, c = model.weights
+    z = a + b * math.asinh(max(excess, default=-base)) + c * math.sqrt(sum(x for x in excess if x > 0))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_extreme_value_rate():
+    """lambda solves the equation of the law: the expected exponential of a token's score is 1."""
+    values, weights = np.array([2.0, 0.5, -0.7]), np.array([0.02, 0.08, 0.9])
+    rate = toxicity._rate(values, weights)
+    assert abs((weights * np.exp(rate * values)).sum() - 1) < 1e-9 and rate > 0
 
 
 def test_toxicity(spark, none):
@@ -614,6 +638,9 @@ def test_toxicity(spark, none):
     docs = make(spark, rows)
     lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, lab)
+    sample = [t for _, t, _ in rows[:60]] + [None, "", " ".join(bad * 9), " ".join(bad * 12), "clean " * 60]
+    found = [model.score(toxicity.tokens(t)) for t in sample]
+    assert np.allclose(found, [brute_score(model, toxicity.tokens(t)) for t in sample], atol=1e-9) and model.statistics(bad * 12) > model.statistics(bad * 9)
     out = toxicity.score(docs, model, with_passages=True).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     truth = dict(labels)
