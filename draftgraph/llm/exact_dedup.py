@@ -4,7 +4,8 @@ external sort puts equal texts side by side, neighbours are compared in full.
 Only DataFrame functions. Splitters are sampled from (first characters, digest, salt), so their
 size does not depend on the length of texts. A text held by more than ``1 / (4 * partitions)`` of
 all rows is dealt over many runs by a salt of its row id; there are at most ``4 * partitions`` such
-texts, which bounds the table that is broadcast. Runs of one text are then joined by its digest.
+texts, which bounds the table that is broadcast. Of such a text's runs that stays which holds the
+identifier that an aggregate by digest found before the sort.
 
 Results in odd cases: a null text counts as empty; rows with a null doc_id take part, and lose to
 any row with an id; of repeated rows exactly one stays; an empty table gives an empty result.
@@ -20,42 +21,35 @@ from .storage import materialize, shuffle_partitions
 HEAD_CHARS = 32
 
 
-def _dealt(docs: DataFrame, parts: int, normalize, *carried: Column) -> DataFrame:
-    """doc_id, t, sha, hot, salt, head and ``carried``, range-partitioned by content; texts of too many
-    rows are hot and have several salts."""
+def _dealt(docs: DataFrame, keep: str, partitions: int | None, normalize, *carried: Column) -> DataFrame:
+    """doc_id, t, sha and ``carried``, range-partitioned by content. Texts of too many rows are hot: they
+    have several salts, hot_size (their rows), hot_keep (the doc_id that stays) and won (its salt)."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be 'smallest' or 'largest'")
+    parts = partitions or shuffle_partitions(docs.sparkSession)
     text: Column = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (normalize(text) if normalize else text).alias("t"), *carried)
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("t"), 256)))
 
-    per_text = materialize(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-counts")
+    best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
+    per_text = materialize(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("hot_size"), best.alias("hot_keep")).filter("hot_size > 1"), "dedup-counts")
     total = docs.count()
-    hot = F.broadcast(per_text.filter(F.col("n") * (4 * parts) > F.lit(total)).select("sha", F.lit(True).alias("hot")))
-
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(2 * parts))).otherwise(F.lit(0))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * parts))
+    hot = per_text.filter(F.col("hot_size") * (4 * parts) > F.lit(total)).withColumn("won", salt("hot_keep"))
     kept = [c for c in rows.columns if c not in ("doc_id", "t", "sha")]
     return (
-        rows.join(hot, "sha", "left")
-        .select("doc_id", "t", "sha", *kept, F.coalesce("hot", F.lit(False)).alias("hot"), salt.cast("long").alias("salt"), F.substring("t", 1, HEAD_CHARS).alias("head"))
+        rows.join(F.broadcast(hot), "sha", "left")
+        .select("doc_id", "t", "sha", *kept, "hot_size", "hot_keep", "won", F.when(F.col("won").isNull(), 0).otherwise(salt("doc_id")).alias("salt"), F.substring("t", 1, HEAD_CHARS).alias("head"))
         .repartitionByRange(parts, "head", "sha", "salt")
     )
 
 
 def _equal(keep: str):
     """The window of equal neighbours, the row that stays first."""
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep must be 'smallest' or 'largest'")
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     return Window.partitionBy("head", "sha", "salt", "t"), order
 
 
-def _joined(hot_runs: DataFrame, keep: str) -> DataFrame:
-    """For each hot text, of the runs' first rows (sha, salt, run_keep, run_size): all_keep, all_size and
-    won, the salt of the run that has the row that stays."""
-    best = F.col("run_keep") if keep == "largest" else -F.col("run_keep")
-    first = F.max(F.struct(best.alias("best"), (-F.col("salt")).alias("order"), F.col("run_keep").alias("id"), F.col("salt").alias("won")))
-    return hot_runs.groupBy("sha").agg(first.alias("m"), F.sum("run_size").alias("all_size")).select("sha", F.col("m.id").alias("all_keep"), F.col("m.won").alias("won"), "all_size")
-
-
 def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None, normalize=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -63,19 +57,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", partitions: int | None
     text column before comparison (default: no change).
     """
     equal, order = _equal(keep)
-    runs = _dealt(docs, partitions or shuffle_partitions(docs.sparkSession), normalize).select(
-        "doc_id", "sha", "hot", "salt",
-        F.row_number().over(equal.orderBy(order)).alias("rank"),
-        F.first("doc_id").over(equal.orderBy(order)).alias("run_keep"),
-        F.count(F.lit(1)).over(equal).alias("run_size"),
-    )
-    runs = materialize(runs, "dedup-runs")
-    out = runs.join(F.broadcast(_joined(runs.filter("hot AND rank = 1"), keep)), "sha", "left")
-    return out.select(
+    return _dealt(docs, keep, partitions, normalize).select(
         "doc_id",
-        F.when(F.col("hot"), F.col("all_keep")).otherwise(F.col("run_keep")).alias("keep_id"),
-        F.when(F.col("hot"), F.col("all_size")).otherwise(F.col("run_size")).alias("group_size"),
-        ((F.col("rank") == 1) & (~F.col("hot") | (F.col("salt") == F.col("won")))).alias("kept"),
+        F.when(F.col("won").isNull(), F.first("doc_id").over(equal.orderBy(order))).otherwise(F.col("hot_keep")).alias("keep_id"),
+        F.coalesce("hot_size", F.count(F.lit(1)).over(equal)).alias("group_size"),
+        ((F.row_number().over(equal.orderBy(order)) == 1) & (F.col("won").isNull() | (F.col("salt") == F.col("won")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -85,12 +71,8 @@ def deduplicate(docs: DataFrame, keep: str = "largest", partitions: int | None =
     with their text, so texts are shuffled once."""
     equal, order = _equal(keep)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    runs = _dealt(docs, partitions or shuffle_partitions(docs.sparkSession), normalize, row)
-    first = runs.withColumn("rank", F.row_number().over(equal.orderBy(order))).filter("rank = 1").select("doc_id", "sha", "hot", "salt", "row")
-    first = materialize(first, "dedup-first")
-    won = _joined(first.filter("hot").select("sha", "salt", F.col("doc_id").alias("run_keep"), F.lit(0).alias("run_size")), keep).select("sha", "won")
-    out = first.join(F.broadcast(won), "sha", "left").filter("NOT hot OR salt = won")
-    return out.select("row.*")
+    first = _dealt(docs, keep, partitions, normalize, row).withColumn("rank", F.row_number().over(equal.orderBy(order)))
+    return first.filter("rank = 1 AND (won IS NULL OR salt = won)").select("row.*")
 
 
 SQL = """

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scratch
 
 WINDOW = 8
 SPACE = "\t\n\x0b\f\r"
@@ -90,6 +90,11 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     """Statistics and verdict for each row of ``docs``: doc_id, host, k1, k2 (keys of the text),
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed,
     removed (hashes of the lines to remove, null if none), kept."""
+    with scratch(sweep=True) as keep:
+        return keep(_verdict(docs, min_words, max_repeat_percent, min_docs, max_share, min_left))
+
+
+def _verdict(docs: DataFrame, min_words: int, max_repeat_percent: int, min_docs: int, max_share: float, min_left: float) -> DataFrame:
     base = materialize(_base(docs), "quality-base")
     lines = materialize(_lines(docs), "quality-lines")
     copies = base.groupBy("host", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
@@ -123,9 +128,10 @@ def limit_hits(verdict: DataFrame) -> DataFrame:
 
 def apply_quality(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the rejected documents and without the lines above the limits."""
-    verdict = quality_rules(docs, **limits)
-    keys = verdict.filter("kept").groupBy("host", "k1", "k2").agg(F.first("removed").alias("__lines"))
-    keys = materialize(keys.select(F.col("host").alias("__host"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__lines"), "quality-kept")
+    with scratch() as keep:
+        verdict = quality_rules(docs, **limits)
+        keys = verdict.filter("kept").groupBy("host", "k1", "k2").agg(F.first("removed").alias("__lines"))
+        keys = keep(materialize(keys.select(F.col("host").alias("__host"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__lines"), "quality-kept"))
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumns({"__host": F.coalesce(F.col("source").cast("string"), F.lit("\x00")), "__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
     d = d.join(keys, ["__host", "__k1", "__k2"])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .gray_index import group_forest, group_links
-from .storage import materialize, shuffle_partitions
+from .storage import materialize, scratch, shuffle_partitions
 
 CHUNK = 1 << 16
 SEED, WORDS = 42, 4
@@ -156,6 +156,11 @@ def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     links of at most ``radius`` (2 at most) differing bits."""
     if not 0 <= radius <= 2:
         raise ValueError("four fields find links of at most two differing bits")
+    with scratch() as keep:
+        return keep(_linked(docs, shingle, radius))
+
+
+def _linked(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     fps = materialize(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
     found = components(_candidates(nodes.filter("id IS NOT NULL"), _field_keys, 1, lambda w, key: group_links(w, key, radius)))
@@ -194,6 +199,14 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     least doc_id (null if all are null), and the row that has it and the least sha is kept (with any row
     equal to it). The number of key bits follows the number of documents, so that groups keep their size
     as the corpus grows, and the number of tables follows the bits, so that recall stays."""
+    with scratch(sweep=True) as keep:
+        rows = keep(_near_rows(docs, similarity, shingle))
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("best"))
+    return rows.join(best, "node").select("doc_id", "sha", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sha") == F.col("best.sha"))).alias("kept"))
+
+
+def _near_rows(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, sha and node, equal for rows of one component."""
     bits = key_bits(int(docs.count()))
     spread = -(-tables_of(bits, similarity) // TABLES)
     radii = (radius_of(similarity, errors=0), radius_of(similarity))
@@ -209,6 +222,4 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     found = components(similar_pairs(pairs, sets, similarity))
 
     of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("node")), "fingerprint-components")
-    rows = materialize(fps.join(of, "fp").select("doc_id", "sha", "node"), "near-rows")
-    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("best"))
-    return rows.join(best, "node").select("doc_id", "sha", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sha") == F.col("best.sha"))).alias("kept"))
+    return materialize(fps.join(of, "fp").select("doc_id", "sha", "node"), "near-rows")

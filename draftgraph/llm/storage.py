@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from ..tables import materialize, new_path, shared_dir
+from ..tables import materialize, new_path, scratch, shared_dir
 
-__all__ = ["materialize", "new_path", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["materialize", "new_path", "scratch", "shared_dir", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .storage import materialize, shuffle_partitions
+from .storage import materialize, scratch, shuffle_partitions
 
 LENGTH, ANCHOR, LIMIT, BATCH, PART = 400, 200, 128, 20_000, 1 << 18
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -418,10 +418,29 @@ def _proved(claims: DataFrame, texts: DataFrame) -> DataFrame:
     return seen.select("id", F.when(equal, F.col("starts")).otherwise(F.raise_error(F.lit("different strings of one digest: choose other FACTORS"))).alias("starts"), "ends")
 
 
+def _repeated_anchors(long: DataFrame, length: int, anchor: int) -> DataFrame:
+    """sha, id (a number), found (chosen strings that are at two places or more) and starts, ends (covered
+    already) of each text that has some of these."""
+    chosen = long.select("sha", "text").mapInArrow(_text_anchors(length, anchor), "sha binary, hash array<long>, place array<int>, first array<int>, last array<int>, starts array<int>, ends array<int>")
+    chosen = chosen.select("sha", F.arrays_zip("hash", "place", "first", "last").alias("a"), "starts", "ends")
+    chosen = materialize(chosen.groupBy("sha").agg(F.first("a").alias("a"), F.first("starts").alias("starts"), F.first("ends").alias("ends")), "anchors")
+    each = chosen.select("sha", F.explode("a").alias("a")).select("sha", "a.*")
+    counts = materialize(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
+    todo = each.join(counts, "hash").groupBy("sha").agg(F.collect_list(F.struct("hash", "place", "first", "last", "n")).alias("found"))
+    told = chosen.filter(F.size("starts") > 0).select("sha", "starts", "ends")
+    todo = todo.join(told, "sha", "full").select("sha", F.monotonically_increasing_id().alias("id"), "found", "starts", "ends")
+    return materialize(todo, "anchors-repeated")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables. Rows: doc_id, sha (of the text), n_bytes. Texts of several rows: sha. Texts that
     hold repeated strings, one row each: sha, text, starts, ends (covered half-open intervals of its
     bytes, which may overlap)."""
+    with scratch() as keep:
+        return tuple(map(keep, _repeated_spans(docs, length, anchor, limit)))
+
+
+def _repeated_spans(docs: DataFrame, length: int, anchor: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("").cast(docs.schema["text"].dataType)).alias("text"))
@@ -430,15 +449,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     copied = materialize(base.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha"), "text-copies")
     long = rows.filter(F.octet_length("text") >= length)
 
-    chosen = long.select("sha", "text").mapInArrow(_text_anchors(length, anchor), "sha binary, hash array<long>, place array<int>, first array<int>, last array<int>, starts array<int>, ends array<int>")
-    chosen = chosen.select("sha", F.arrays_zip("hash", "place", "first", "last").alias("a"), "starts", "ends")
-    chosen = materialize(chosen.groupBy("sha").agg(F.first("a").alias("a"), F.first("starts").alias("starts"), F.first("ends").alias("ends")), "anchors")
-    each = chosen.select("sha", F.explode("a").alias("a")).select("sha", "a.*")
-    counts = materialize(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
-    todo = each.join(counts, "hash").groupBy("sha").agg(F.collect_list(F.struct("hash", "place", "first", "last", "n")).alias("found"))
-    told = chosen.filter(F.size("starts") > 0).select("sha", "starts", "ends")
-    todo = todo.join(told, "sha", "full").select("sha", F.monotonically_increasing_id().alias("id"), "found", "starts", "ends")
-    todo = materialize(todo, "anchors-repeated")
+    with scratch(sweep=True) as keep:
+        todo = keep(_repeated_anchors(long, length, anchor))
 
     # equal texts are combined before the shuffle, so copies cost one row for each task
     texts = long.select("sha", "text").groupBy("sha").agg(F.first("text").alias("text")).join(todo, "sha")
@@ -448,7 +460,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = materialize(contexts.mapInArrow(_columns(length, anchor, 4 * parts), FOUND), "windows")
     digests = found.filter("digests IS NOT NULL").select("bucket", "digests").repartition(parts, "bucket").sortWithinPartitions("bucket")
     more = digests.mapInArrow(_answers(length), FOUND)
-    claims = found.filter("other IS NOT NULL").union(more).select("id", "starts", "ends", "other", "ats")
+    claims = materialize(found.filter("other IS NOT NULL").union(more).select("id", "starts", "ends", "other", "ats"), "claims")
     spans = found.filter("id IS NOT NULL AND other IS NULL").select("id", "starts", "ends").union(_proved(claims, texts))
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spans = texts.select("sha", "id", "text").join(spans, "id").select("sha", "text", "starts", "ends")
@@ -459,7 +471,6 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; n_passage_words tells how many of
     its words are in runs of ``words`` and more that are elsewhere too, which may be shorter than
     ``length`` bytes and then stay."""
-    base, copied, spans = repeated_spans(docs, length, anchor, limit)
 
     def run(rows):
         for batch in rows:
@@ -471,9 +482,13 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["sha", "n_removed", "n_spans", "kept_sha256"])
 
-    cut_texts = spans.mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string")
-    known = copied.withColumn("copied", F.lit(True)).join(cut_texts, "sha", "full").join(passage_words(docs, words, limit), "sha", "full")
-    known = materialize(known, "texts-cut")
+    with scratch(sweep=True) as keep:
+        base, copied, spans = repeated_spans(docs, length, anchor, limit)
+        cut_texts = spans.mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string")
+        known = materialize(copied.withColumn("copied", F.lit(True)).join(cut_texts, "sha", "full"), "texts-cut")
+        keep(base)
+        keep(known)
+    known = known.join(passage_words(docs, words, limit), "sha", "full")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     return base.join(known, "sha", "left").select(
@@ -488,7 +503,6 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings taken out of their texts; a character stays unless all of its
     bytes are covered."""
-    _, copied, spans = repeated_spans(docs, length)
 
     def run(rows):
         for batch in rows:
@@ -498,9 +512,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 texts.append(cut(text.encode(), merge(starts, ends), whole_characters=True).decode())
             yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(texts, pa.string())], ["__sha", "__text"])
 
-    changed = spans.mapInArrow(run, "__sha binary, __text string")
-    twice = copied.select(F.col("sha").alias("__sha"), F.lit(True).alias("__twice"))
-    changed = materialize(changed.join(twice, "__sha", "full"), "texts-changed")
+    with scratch() as keep:
+        _, copied, spans = repeated_spans(docs, length)
+        changed = spans.mapInArrow(run, "__sha binary, __text string")
+        twice = copied.select(F.col("sha").alias("__sha"), F.lit(True).alias("__twice"))
+        changed = keep(materialize(changed.join(twice, "__sha", "full"), "texts-changed"))
     out = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(changed, "__sha", "left")
     whole = F.coalesce("__twice", F.lit(False)) & (F.octet_length("text") >= length)
     new = F.when(whole, F.lit("")).otherwise(F.coalesce("__text", "text"))
@@ -560,9 +576,10 @@ def _found(texts: DataFrame, size: int, anchor: int, limit: int, key: str, names
     """For each text that has some: its ``key`` (SHA-256), starts and ends of repeated strings, and
     whether it is repeated as a whole."""
     texts = texts.filter(F.octet_length("text") >= size).select(F.lit(None).cast("long").alias("doc_id"), "text")
-    _, copied, spans = repeated_spans(texts, size, anchor, limit)
-    spans = spans.select(F.col("sha").alias(key), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
-    return spans.join(copied.select(F.col("sha").alias(key), F.lit(True).alias(names[2])), key, "full")
+    with scratch(sweep=True) as keep:
+        _, copied, spans = repeated_spans(texts, size, anchor, limit)
+        spans = spans.select(F.col("sha").alias(key), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
+        return keep(materialize(spans.join(copied.select(F.col("sha").alias(key), F.lit(True).alias(names[2])), key, "full"), "repeated"))
 
 
 def repeated_passages(coded: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
@@ -582,8 +599,10 @@ def passage_words(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> Da
             n = [all_words if whole else sum(b - a for a, b in word_runs(starts, ends, words)) for all_words, starts, ends, whole in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["sha", "n_passage_words"])
 
-    found = repeated_passages(coded_texts(docs, words), words, limit)
-    return found.select("__sha", "__n_words", "__w_starts", "__w_ends", "__w_all").mapInArrow(count, "sha binary, n_passage_words long")
+    with scratch() as keep:
+        found = repeated_passages(coded_texts(docs, words), words, limit)
+        counted = found.select("__sha", "__n_words", "__w_starts", "__w_ends", "__w_all").mapInArrow(count, "sha binary, n_passage_words long")
+        return keep(materialize(counted, "passage-words"))
 
 
 def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
@@ -605,9 +624,10 @@ def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, l
             columns = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(batch.schema.names[:n], batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*batch.schema.names[:n], "__cut"])
 
-    coded = coded_texts(docs, words, length)
-    by_text = _found(coded.filter("wide IS NOT NULL").select(F.col("wide").alias("text")), length, ANCHOR, limit, "__sha", ("__starts", "__ends", "__all"))
-    cuts = materialize(repeated_passages(coded, words, limit).join(by_text, "__sha", "full"), "passages")
+    with scratch() as keep:
+        coded = coded_texts(docs, words, length)
+        by_text = _found(coded.filter("wide IS NOT NULL").select(F.col("wide").alias("text")), length, ANCHOR, limit, "__sha", ("__starts", "__ends", "__all"))
+        cuts = keep(materialize(repeated_passages(coded, words, limit).join(by_text, "__sha", "full"), "passages"))
 
     named = ["__n_words", "__w_starts", "__w_ends", "__w_all", "__starts", "__ends", "__all"]
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
