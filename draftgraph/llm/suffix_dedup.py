@@ -3,7 +3,7 @@
 Wanted are the bytes covered by a string of ``length`` bytes that starts at two places or more.
 
 1. *Anchors.* Of the ``anchor``-byte strings inside each window of ``length`` bytes the least hash is
-   chosen (leftmost on ties). The choice depends on the window's bytes alone, so equal windows choose
+   chosen (by its upper bits, leftmost on ties). The choice depends on the window's bytes alone, so equal windows choose
    the same string at the same place: windows whose choice is unique in the corpus are not repeated,
    and all places of a repeated string can be compared apart from the rest of the corpus.
 2. *Columns.* The places of one repeated string form a collection of short documents, aligned at it.
@@ -34,7 +34,6 @@ null or repeated doc_id are documents of their own; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +44,11 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from .storage import materialize, scratch, shuffle_partitions
 
 LENGTH, ANCHOR, LIMIT, BATCH, PART = 400, 200, 128, 20_000, 1 << 18
+PLACES = np.uint64((1 << 20) - 1)  # a place in a part and the strings at its end
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PAD = 256
 WORDS, CODE = 51, 4
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 class _Powers:
@@ -91,17 +91,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
 
 
 def _anchors(data: np.ndarray, length: int, anchor: int, offset: int):
-    value = rolling(data, anchor)
-    hashes, place = value, np.arange(len(value), dtype=np.int32)
+    hashes = rolling(data, anchor)
+    least = hashes & ~PLACES | np.arange(len(hashes), dtype=np.uint64)  # by the upper bits, then by place
     span, width = 1, length - anchor + 1
     while span < width:
         step = min(span, width - span)
-        left = value[: len(value) - step] <= value[step:]
-        value, place = np.where(left, value[: len(value) - step], value[step:]), np.where(left, place[: len(place) - step], place[step:])
+        least = np.minimum(least[: len(least) - step], least[step:])
         span += step
+    place = (least & PLACES).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], len(place)) - 1
-    at = place[first].astype(np.int64)
+    at = place[first]
     return hashes[at], at + offset, first + offset, last + offset
 
 
@@ -231,8 +231,7 @@ def _text_anchors(length: int, anchor: int):
     def run(rows):
         for batch in rows:
             sha, columns = [], [[] for _ in range(6)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = _bytes(text)
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if len(data) >= length:
                     found, covered = text_anchors(data, length, anchor)
                     sha.append(key)
@@ -526,22 +525,47 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text's bytes."""
+    edge = np.diff(np.concatenate([[0], ~IS_SPACE[data], [0]]).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_codes(data: bytes, words: int = WORDS, length: int = LENGTH) -> tuple[bytes, bool]:
     """A code for each word, and whether ``length`` bytes of ``data`` can repeat without ``words`` whole
     words in common: a word cut at either end of them may be whole in one text alone."""
     import xxhash
 
-    spans = [m.span() for m in WORD.finditer(data)]
-    code = np.fromiter((xxhash.xxh32_intdigest(data[a:b]) for a, b in spans), "<u4", len(spans)).tobytes()
+    symbols = np.frombuffer(data, np.uint8)
+    starts, ends = _word_places(symbols)
+    codes, at = [np.zeros(0, np.uint32)], 0
+    while at < len(starts):  # parts of the text, so that memory does not follow its length
+        to = int(np.searchsorted(ends, starts[at] + PART, "right"))
+        if to > at:
+            a, b = starts[at:to], ends[at:to]
+            codes.append(_word_hashes(symbols[a[0] : b[-1]], a - a[0], b - a[0]))
+        else:  # a word longer than a part
+            to = at + 1
+            codes.append(np.array([xxhash.xxh32_intdigest(data[starts[at] : ends[at]])], np.uint32))
+        at = to
+    code = np.concatenate(codes).astype("<u4").tobytes()
     if len(data) < length:
         return code, False
-    if len(spans) < words + 2:
+    if len(starts) < words + 2:
         return code, True
-    starts = np.array([-1] + [a for a, _ in spans])
-    ends = np.array([b for _, b in spans] + [len(data) + 1])
+    starts, ends = np.append(-1, starts), np.append(ends, len(data) + 1)
     return code, bool((ends[words + 1 :] - starts[: -words - 1] - 2 >= length).any())
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _POWERS[0].get(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def word_runs(starts, ends, words: int = WORDS) -> list[tuple[int, int]]:
     """Covered intervals of a text's codes to the runs of its words that they hold; runs of fewer than
     ``words`` words go."""
@@ -551,8 +575,8 @@ def word_runs(starts, ends, words: int = WORDS) -> list[tuple[int, int]]:
 
 def passage_spans(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words to their bytes, each with the white space behind it."""
-    spans = [m.span() for m in WORD.finditer(data)]
-    return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in runs]
+    starts, ends = (x.tolist() for x in _word_places(np.frombuffer(data, np.uint8)))
+    return [(starts[a], starts[b] if b < len(starts) else ends[-1]) for a, b in runs]
 
 
 def coded_texts(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> DataFrame:
@@ -562,11 +586,11 @@ def coded_texts(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> Da
     def coded(rows):
         for batch in rows:
             codes, wide = [], []
-            for text in batch.column(1).to_pylist():
-                code, few = word_codes(text.encode(), words, length)
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                code, few = word_codes(text, words, length)
                 codes.append(code)
                 wide.append(text if few else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(wide, pa.string())], ["sha", "code", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(wide, pa.binary()).cast(pa.string())], ["sha", "code", "wide"])
 
     rows = docs.filter("text IS NOT NULL").select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     return materialize(rows.mapInArrow(coded, "sha binary, code binary, wide string"), "word-codes")

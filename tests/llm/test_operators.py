@@ -190,6 +190,21 @@ def test_word_runs():
     assert suffix_dedup.word_runs([0, 4, 400], [204, 300, 604]) == [(0, 75), (100, 151)]
 
 
+def test_word_codes(monkeypatch):
+    rng = random.Random(2)
+    for text in [b"", b" ", b"one", b"\x0b a\tb \x0c", *(" ".join(rng.choice(WORDS) + rng.choice(["", "\n", "é", "\x1c"]) for _ in range(300)).encode() for _ in range(20))]:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        code = suffix_dedup.word_codes(text)[0]
+        codes = [code[4 * k : 4 * k + 4] for k in range(len(words))]
+        assert len(code) == 4 * len(words) and len(set(codes)) == len(set(words)) == len(set(zip(codes, words)))
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "PART", 20)
+            assert max(map(len, words), default=0) <= 20 and suffix_dedup.word_codes(text)[0] == code
+            m.setattr(suffix_dedup, "PART", 3)
+            assert len(suffix_dedup.word_codes(text)[0]) == len(code)
+    assert suffix_dedup.word_codes(b"x" * 400)[1] and not suffix_dedup.word_codes(b"x" * 399)[1] and not suffix_dedup.word_codes(b"abc " * 200)[1]
+
+
 def test_anchors_do_not_depend_on_parts(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
