@@ -1022,9 +1022,9 @@ def documents(spark, sf):
     return extract.extract(p, t).documents(plans)
 
 
-def buildings(spark, sf):
+def building_tables(spark, sf):
     """For each supplier a drawing of one room of double lines, a door, a label and a callout, by number:
-    documents and errors of the whole extraction."""
+    paths, texts and plans."""
     s = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("plan_id"))
     w, h = (200 + (F.col("plan_id") % 7) * 40).cast("double"), (150 + (F.col("plan_id") % 5) * 30).cast("double")
     line = lambda kind, *xy: F.struct(F.lit(kind).alias("kind"), *[x.alias(n) if isinstance(x, F.Column) else F.lit(float(x)).alias(n) for x, n in zip(xy, ("x0", "y0", "x1", "y1"))])
@@ -1036,7 +1036,42 @@ def buildings(spark, sf):
     label = F.get(F.array(*[F.lit(x) for x in ("BATHROOM", "OFFICE", "204", "UNIT")]), (F.col("plan_id") % 4).cast("int"))
     texts_in = s.select("plan_id", F.posexplode(F.array(label, F.lit("see A302/7"))).alias("ord", "text")).select("plan_id", "ord", "text", F.lit(100.0).alias("bx0"), (F.lit(60.0) + 20 * F.col("ord")).alias("by0"), F.lit(120.0).alias("bx1"), (F.lit(70.0) + 20 * F.col("ord")).alias("by1"), F.lit(0).alias("page_num"))
     plans = s.select("plan_id", F.concat(F.lit("plan"), F.col("plan_id").cast("string"), F.lit(".pdf")).alias("source_pdf"), w.alias("width"), h.alias("height"))
-    return extract.run(paths, texts_in, plans)
+    return paths, texts_in, plans
+
+
+def buildings(spark, sf):
+    """Documents and errors of the whole extraction over ``building_tables``."""
+    return extract.run(*building_tables(spark, sf))
+
+
+def drawn_walls(spark, sf):
+    """Walls and dropped ones of the buildings, each with more double lines outside, by number: a thick
+    pair (not of the drawing's mode), a pair as wide as the walls' that touches none, and one that stands
+    on the upper wall."""
+    paths, blocks, _ = building_tables(spark, sf)
+    n = F.col("plan_id")
+    w, h = (200 + (n % 7) * 40).cast("double"), (150 + (n % 5) * 30).cast("double")
+    stem = (80 + (n % 3) * 20).cast("double")
+    more = [(n % 2 == 0, w + 200, 0.0, 18.0), (n % 3 == 0, w + 400, 0.0, 4.0), (n % 5 < 3, w / 2, h, 4.0)]
+    lines = [F.when(on, F.array(*[F.struct((x + d).cast("double").alias("x"), F.lit(y).alias("y") if isinstance(y, float) else y.alias("y")) for d in (0.0, t)])) for on, x, y, t in more]
+    extra = paths.filter("ord = 0").select("*", F.posexplode(F.flatten(F.filter(F.array(*lines), lambda a: a.isNotNull()))).alias("k", "at"))
+    extra = extra.withColumns({"ord": F.col("k") + 20, "path_id": F.concat(F.lit("q"), F.col("k").cast("string")), "x0": F.col("at.x"), "y0": F.col("at.y"), "x1": F.col("at.x"), "y1": F.col("at.y") + stem}).select(*paths.columns)
+    return walls.detect_walls(classify.classify_paths(paths.union(extra), blocks))
+
+
+@query("det01", """WITH s AS (SELECT s_suppkey AS plan_id, (200 + (s_suppkey % 7) * 40)::DOUBLE AS w, (150 + (s_suppkey % 5) * 30)::DOUBLE AS h, (80 + (s_suppkey % 3) * 20)::DOUBLE AS stem FROM supplier
+), drawn AS (SELECT plan_id, 0.0::DOUBLE AS x0, 2.0::DOUBLE AS y0, w AS x1, 2.0::DOUBLE AS y1, 4.0::DOUBLE AS thickness FROM s
+  UNION ALL SELECT plan_id, 0, h - 2, w, h - 2, 4 FROM s UNION ALL SELECT plan_id, 2, 0, 2, h, 4 FROM s UNION ALL SELECT plan_id, w - 2, 0, w - 2, h, 4 FROM s
+  UNION ALL SELECT plan_id, w + 209, 0, w + 209, stem, 18 FROM s WHERE plan_id % 2 = 0
+  UNION ALL SELECT plan_id, w + 402, 0, w + 402, stem, 4 FROM s WHERE plan_id % 3 = 0
+  UNION ALL SELECT plan_id, w / 2 + 2, h, w / 2 + 2, h + stem, 4 FROM s WHERE plan_id % 5 < 3
+) SELECT *, thickness = 18 AND count(*) OVER (PARTITION BY plan_id) > 5 AS outlier, false AS dropped FROM drawn""")
+def _det01(spark, sf):
+    """One thick wall among n is over two standard deviations from the mean if n - 1 > 4, not at 4."""
+    kept, dropped = drawn_walls(spark, sf)
+    xy = [r6(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1", "thickness")]
+    row = lambda df, gone: df.select("plan_id", *xy, F.array_contains("rules_failed", "thickness_outlier").alias("outlier"), F.lit(gone).alias("dropped"))
+    return row(kept, False).union(row(dropped, True))
 
 
 _BUILT = "SELECT s_suppkey AS plan_id, 'plan' || s_suppkey || '.pdf' AS source_pdf, 1::BIGINT AS rooms, 4::BIGINT AS walls, 1::BIGINT AS openings, 2::BIGINT AS text_regions, 0::BIGINT AS grid_lines, 4::BIGINT AS junctions, 1::BIGINT AS cross_references, ((198 + (s_suppkey % 7) * 40) * (148 + (s_suppkey % 5) * 30))::DOUBLE AS area, (['bathroom','office','unknown','mechanical'])[(s_suppkey % 4 + 1)::INT] AS room_type, 0::BIGINT AS errors FROM supplier"
