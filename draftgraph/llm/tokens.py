@@ -13,13 +13,14 @@ older one, from which pieces in use come back, and pieces over ``LONG`` characte
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-LIMIT, LONG, JOIN, SLICE = 450_000, 48, 2000, 12_000_000
+LIMIT, LONG, JOIN, SLICE = 450_000, 48, 2000, 6_000_000
 #: characters that no normalization form changes and whose lower case does not depend on what is near
 OTHER = re.compile("[^\x00-įı-ɏ]")
 LETTERS = "a-zß-öø-ÿā-įı-ňŊ-ɏ"
@@ -88,7 +89,10 @@ class PieceEncoder(PieceMemory):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for a in range(0, len(pieces), JOIN):  # what the library returns takes many times a piece's size
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces[a : a + JOIN], add_special_tokens=False)]
+        return out
 
     def _words(self, words: list[str]) -> None:
         """Remember words of letters, ``JOIN`` of them in one text."""
@@ -131,16 +135,29 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def release() -> None:
+    """Give back to the system what Arrow and the C library hold though it is free: workers live on from
+    stage to stage beside the executor's heap, and what a slice took would stay with them."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def batches(column, most: int = SLICE):
-    """Slices (start, stop) of an Arrow string column of about ``most`` bytes each, one row at least."""
+    """Slices (start, stop) of an Arrow string column of about ``most`` bytes each, one row at least.
+    Before each slice, what the last one left free goes back to the system."""
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and held + n > most:
+            release()
             yield start, i
             start, held = i, 0
         held += int(n)
     if start < len(lengths):
+        release()
         yield start, len(lengths)
