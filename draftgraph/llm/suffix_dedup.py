@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .storage import materialize, scratch, shuffle_partitions
+from .tokens import release, sliced
 
 LENGTH, ANCHOR, LIMIT, BATCH, PART = 400, 200, 128, 20_000, 1 << 18
 PLACES = np.uint64((1 << 20) - 1)  # a place in a part and the strings at its end
@@ -229,7 +230,7 @@ def _bytes(text: str | bytes) -> bytes:
 
 def _text_anchors(length: int, anchor: int):
     def run(rows):
-        for batch in rows:
+        for batch in sliced(rows, 1):
             sha, columns = [], [[] for _ in range(6)]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if len(data) >= length:
@@ -249,7 +250,7 @@ def _contexts(length: int, salt_over: int):
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(rows):
-        for batch in rows:
+        for batch in sliced(rows, 1):
             out: list[list] = [[] for _ in _CONTEXT]
             for one, text, found, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 data = _bytes(text)
@@ -341,6 +342,7 @@ def _columns(length: int, anchor: int, buckets: int):
                 if len(held) >= BATCH and row[:2] != held[-1][:2]:
                     yield from flush(held)
                     held = []
+                    release()
                 held.append(row)
             if sum(map(len, digests)) > 2_000_000:
                 yield from packed(digests)
@@ -472,7 +474,7 @@ def removal(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, limit:
     ``length`` bytes and then stay."""
 
     def run(rows):
-        for batch in rows:
+        for batch in sliced(rows, "text"):
             out: list[list] = [[], [], [], []]
             for sha, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 runs = merge(starts, ends)
@@ -504,7 +506,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bytes are covered."""
 
     def run(rows):
-        for batch in rows:
+        for batch in sliced(rows, "text"):
             shas, texts = [], []
             for sha, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 shas.append(sha)
@@ -584,7 +586,7 @@ def coded_texts(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> Da
     each row that has a text."""
 
     def coded(rows):
-        for batch in rows:
+        for batch in sliced(rows, "text"):
             codes, wide = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 code, few = word_codes(text, words, length)
@@ -634,7 +636,7 @@ def remove_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, l
     length in bytes, and without repeated strings of ``length`` bytes in which there are fewer words."""
 
     def cut_rows(rows):
-        for batch in rows:
+        for batch in sliced(rows, "text"):
             n = len(batch.schema.names) - 7
             texts, changed = batch.column("text").to_pylist(), [False] * batch.num_rows
             for i, (n_words, w_starts, w_ends, w_all, starts, ends, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n:]))):

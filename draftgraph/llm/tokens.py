@@ -161,3 +161,13 @@ def batches(column, most: int = SLICE):
     if start < len(lengths):
         release()
         yield start, len(lengths)
+
+
+def sliced(rows, column: int | str):
+    """The Arrow batches ``rows`` in slices of about ``SLICE`` bytes of a string or binary column; what
+    they left free goes back to the system, at the end too, as workers live on."""
+    for batch in rows:
+        for a, b in batches(batch.column(column)):
+            yield batch.slice(a, b - a)
+        batch = None
+    release()
