@@ -10,6 +10,8 @@ a dense group costs no all-pairs work and gives a spanning set of links, not all
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 FAN = 8
@@ -85,15 +87,11 @@ def _distance(pattern, mask, a, b) -> np.ndarray:
     return np.bitwise_count(both).sum(axis=1, dtype=np.int32)
 
 
-def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -> list[tuple[int, int]]:
-    """Bring together in ``sets`` the rows of equal ``group``, both in index order, that a chain of rows
-    within ``radius`` joins; the pairs that did it, in each batch the closest first."""
+def _near(words: np.ndarray, group: np.ndarray, radius: int, labels: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In batches (row, row, differing bits), the pairs of rows of equal ``group``, both in index order,
+    within ``radius``; but no pairs from two nodes below which all rows have one of the ``labels``, which
+    are asked for anew before each batch."""
     n = len(words)
-    apart = np.bitwise_count(words[1:] ^ words[:-1]).sum(axis=1)
-    near = np.flatnonzero((group[1:] == group[:-1]) & (apart <= radius))
-    near = near[np.argsort(apart[near], kind="stable")]
-    took = sets.join(near, near + 1)
-
     levels = _levels(words, group)
     top = len(levels) - 1
     ids = np.arange(len(levels[top][0]))
@@ -106,7 +104,7 @@ def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -
 
     def uniform(level: int):
         """Whether a node's items are one set, and which."""
-        label = sets.labels()
+        label = labels()
         changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         lo, hi = ranges[level]
         return changes[lo] == changes[hi - 1], label[lo]
@@ -118,8 +116,7 @@ def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -
         apart = _distance(pattern, mask, a, b)
         if level == 0:
             keep = np.flatnonzero((a != b) & (apart <= radius))
-            keep = keep[np.argsort(apart[keep], kind="stable")]
-            took += sets.join(a[keep], b[keep])
+            yield a[keep], b[keep], apart[keep]
             continue
         one, label = uniform(level)
         keep = ~(one[a] & one[b] & (label[a] == label[b])) & (apart <= radius)
@@ -133,6 +130,18 @@ def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -
             cx, cy = first[x][pair] + i // ny[pair], first[y][pair] + i % ny[pair]
             half = cx <= cy
             stack.append((level - 1, cx[half], cy[half]))
+
+
+def _join_near(words: np.ndarray, group: np.ndarray, radius: int, sets: _Sets) -> list[tuple[int, int]]:
+    """Bring together in ``sets`` the rows of equal ``group``, both in index order, that a chain of rows
+    within ``radius`` joins; the pairs that did it, in each batch the closest first."""
+    apart = np.bitwise_count(words[1:] ^ words[:-1]).sum(axis=1)
+    near = np.flatnonzero((group[1:] == group[:-1]) & (apart <= radius))
+    near = near[np.argsort(apart[near], kind="stable")]
+    took = sets.join(near, near + 1)
+    for a, b, apart in _near(words, group, radius, sets.labels):
+        closest = np.argsort(apart, kind="stable")
+        took += sets.join(a[closest], b[closest])
     return took
 
 
@@ -169,7 +178,8 @@ def group_links(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
 def group_forest(words: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the same links, of pairs that are themselves within the last of ``radii``
     (ascending); rows that pairs within an earlier one join are joined by such pairs. At most one pair
-    a row and group."""
+    a row and group. Where a pair may turn out to be no link, rows that it alone joined can have other
+    links: ``group_pairs`` has those."""
     if len(words) < 2:
         return NO_LINKS
     order, words, group = _sorted_groups(words, group)
@@ -180,3 +190,17 @@ def group_forest(words: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -
         took += _join_near(words, group, radius, sets)
     pairs = np.array(took, np.int64).reshape(-1, 2)
     return order[pairs[:, 0]], order[pairs[:, 1]]
+
+
+def group_pairs(words: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In batches, all pairs of rows of equal ``group`` and different ``label`` within ``radius``."""
+    if len(words) < 2:
+        return
+    order, words, group = _sorted_groups(words, group)
+    if not len(order):
+        return
+    label = label[order]
+    for a, b, _ in _near(words, group, radius, lambda: label):
+        apart = label[a] != label[b]
+        if apart.any():
+            yield order[a[apart]], order[b[apart]]

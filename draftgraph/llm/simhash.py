@@ -24,6 +24,7 @@ the same fingerprint and component; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 from math import acos, ceil, log, pi
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .gray_index import group_forest, group_links
+from .gray_index import group_forest, group_links, group_pairs
 from .storage import materialize, scratch, shuffle_partitions
 
 CHUNK = 1 << 16
@@ -58,6 +59,11 @@ def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())], np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The ``k``-th word of a hash of many words (0: the hash itself)."""
     if not k:
@@ -78,6 +84,25 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarra
     return np.packbits(2 * ones > n, axis=1).view(">u8").reshape(words).astype(np.uint64)
 
 
+def set_fingerprints(docs: DataFrame, shingle: int = 5, words: int = WORDS) -> DataFrame:
+    """doc_id, sha, fp and digest of each row: the fingerprint of the set of its shingles, each counted
+    once, and a digest of the set. Rows of one digest have a similarity of 1, those of one fingerprint
+    need not."""
+
+    def run(rows):
+        for batch in rows:
+            fps, digests = [], []
+            for text in batch.column(2).to_pylist():
+                h = shingle_set(text, shingle)
+                ones = [np.unpackbits(_mixed(h[i : i + CHUNK], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(words) for i in range(0, max(1, len(h)), CHUNK)]
+                fps.append(np.packbits(2 * np.array(ones).reshape(words, -1, 64).sum(axis=1) > len(h), axis=1).tobytes())
+                digests.append(blake2b(h.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(digests, pa.binary())], ["doc_id", "sha", "fp", "digest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha().alias("sha"), "text")
+    return rows.mapInArrow(run, "doc_id long, sha binary, fp binary, digest binary")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
     """doc_id, sha (the text's SHA-256) and fp, the fingerprint's bytes, of each row."""
 
@@ -127,16 +152,18 @@ def _sampled_keys(bits: int, similarity: float = 0.8):
 
 
 def _candidates(nodes: DataFrame, keys, words: int, pairs, spread: int = 1) -> DataFrame:
-    """Pairs (a, b) of the ids of ``nodes`` (fp, id) that ``pairs`` finds in groups of equal keys, which
-    are dealt over ``spread`` times the shuffle partitions."""
+    """Pairs (a, b) of the ids of ``nodes`` (fp, id and, for those of the index that read it, label) that
+    ``pairs`` finds, in batches, in groups of equal keys, which are dealt over ``spread`` times the
+    shuffle partitions."""
     parts = shuffle_partitions(nodes.sparkSession)
+    own = [c for c in ("fp", "id", "label") if c in nodes.columns]
 
     def deal(rows):
         for batch in rows:
             if batch.num_rows:
                 w = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
                 for key in keys(w):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["key", "fp", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *own])
 
     def find(rows):
         held = [b for b in rows if b.num_rows]
@@ -144,13 +171,25 @@ def _candidates(nodes: DataFrame, keys, words: int, pairs, spread: int = 1) -> D
             t = pa.Table.from_batches(held)
             w = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
             ids = t["id"].to_numpy()
-            a, b = pairs(w, t["key"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+            for a, b in pairs(w, t["key"].to_numpy(), *[t[c].to_numpy() for c in own[2:]]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
-    dealt = nodes.select("fp", "id").mapInArrow(deal, "key long, fp binary, id long").repartition(parts * spread, "key")
+    schema = ", ".join(["key long", "fp binary", "id long", "label long"][: 1 + len(own)])
+    dealt = nodes.select(*own).mapInArrow(deal, schema).repartition(parts * spread, "key")
     return dealt.mapInArrow(find, "a long, b long")
 
 
+def _first_met(words: np.ndarray, key: np.ndarray, pairs, keys) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the ``pairs`` of rows those whose ``keys`` are equal in no table before this one."""
+    for every_a, every_b in pairs:
+        for at in range(0, len(every_a), 4096):
+            a, b = every_a[at : at + 4096], every_b[at : at + 4096]
+            first = np.argmax([x == y for x, y in zip(keys(words[a]), keys(words[b]))], axis=0)
+            here = first == key[a] >> 48
+            if here.any():
+                yield a[here], b[here]
+
+
 def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id reachable over
     links of at most ``radius`` (2 at most) differing bits."""
@@ -163,7 +202,7 @@ def link(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 def _linked(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     fps = materialize(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
-    found = components(_candidates(nodes.filter("id IS NOT NULL"), _field_keys, 1, lambda w, key: group_links(w, key, radius)))
+    found = components(_candidates(nodes.filter("id IS NOT NULL"), _field_keys, 1, lambda w, key: [group_links(w, key, radius)]))
     of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "fingerprint-components")
     return fps.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -179,7 +218,7 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
 
     def run(rows):
         for batch in rows:
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
@@ -210,16 +249,35 @@ def _near_rows(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     bits = key_bits(int(docs.count()))
     spread = -(-tables_of(bits, similarity) // TABLES)
     radii = (radius_of(similarity, errors=0), radius_of(similarity))
-    fps = materialize(fingerprints(docs, shingle, WORDS), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("sha").alias("sha")).withColumn("id", F.monotonically_increasing_id())
+    fps = materialize(set_fingerprints(docs, shingle), "fingerprints")
+    nodes = fps.groupBy("fp", "digest").agg(F.min("sha").alias("sha")).withColumn("id", F.monotonically_increasing_id())
     nodes = materialize(nodes, "fingerprint-nodes")
-    pairs = _candidates(nodes, _sampled_keys(bits, similarity), WORDS, lambda w, key: group_forest(w, key, radii), spread)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    either = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = _sampled_keys(bits, similarity)
+    pairs = materialize(either(_candidates(nodes, keys, WORDS, lambda w, key: [group_forest(w, key, radii)], spread)), "near-pairs")
 
     ends = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "sha")
     texts = docs.select(text_sha().alias("sha"), F.coalesce("text", F.lit("")).alias("text")).join(ends, "sha").dropDuplicates(["id"])
     sets = materialize(shingle_sets(texts, shingle), "near-sets")
     found = components(similar_pairs(pairs, sets, similarity))
-
-    of = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("node")), "fingerprint-components")
-    return materialize(fps.join(of, "fp").select("doc_id", "sha", "node"), "near-rows")
+    nodes = materialize(nodes.join(found, "id", "left").withColumn("label", F.coalesce("component_id", "id")).drop("component_id"), "near-nodes")
+
+    joined = _joined_by_rest(nodes, pairs, sets, similarity, lambda again: either(_candidates(again, keys, WORDS, lambda w, key, label: _first_met(w, key, group_pairs(w, key, label, radii[-1]), keys), spread)))
+    of = nodes.join(joined, "label", "left").select("fp", "digest", F.coalesce("node", "label").alias("node")) if joined is not None else nodes.select("fp", "digest", F.col("label").alias("node"))
+    return materialize(fps.join(of, ["fp", "digest"]).select("doc_id", "sha", "node"), "near-rows")
+
+
+def _joined_by_rest(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float, propose) -> DataFrame | None:
+    """label and node, the least label that it reaches, for the labels of ``nodes`` (id, label) that pairs
+    beside the forest's join (None: there can be none). A pair of the forest that is not similar parts
+    two rows that others may still link; so all rows of labels that such pairs touch, and by no others
+    can labels meet, are compared with each other: ``propose`` gives their pairs in reach."""
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    labelled = lambda p: p.join(of("a"), "a").join(of("b"), "b").filter("a_label <> b_label")
+    parted = materialize(labelled(pairs).select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct(), "near-parted")
+    if parted.isEmpty():
+        return None
+    again = materialize(nodes.join(parted, "label", "left_semi").select("fp", "id", "label"), "near-again")
+    rest = materialize(propose(again).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    links = labelled(similar_pairs(rest, sets, similarity)).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    return components(links).select(F.col("id").alias("label"), F.col("component_id").alias("node"))

@@ -465,6 +465,56 @@ def test_group_forest():
         assert len(a) == 300 - len(set(want.labels().tolist()))
 
 
+def test_group_pairs():
+    """Every pair in reach of different labels, none of one label."""
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)[rng.integers(0, 6, 300)]
+    for _ in range(24):
+        bit = rng.integers(0, 256, 300)
+        w[np.arange(300), bit // 64] ^= np.uint64(1) << (bit % 64).astype(np.uint64)
+    group, label = rng.integers(0, 3, 300), rng.integers(0, 40, 300)
+    near = (np.bitwise_count(w[:, None] ^ w[None]).sum(axis=2) <= 45) & (group[:, None] == group[None]) & (label[:, None] != label[None])
+    found = [tuple(sorted(p)) for a, b in gray_index.group_pairs(w, group, label, 45) for p in zip(a.tolist(), b.tolist())]
+    assert len(found) == len(set(found))
+    assert set(found) == {(a, b) for a, b in np.argwhere(near).tolist() if a < b}
+
+
+def test_near_groups_of_texts_about_the_bound(spark):
+    """A pair in reach that is not similar parts no texts that another pair links: families whose pairs
+    lie on both sides of 0.8 fall into the components of all similar pairs that meet in reach."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(40):
+        words = [f"w{family}x{k}" for k in range(150)]
+        for member in range(6):
+            own = list(words)
+            for k in rng.choice(150, 2 + member % 2, replace=False):
+                own[k] = f"z{len(texts)}y{k}"
+            texts.append(" ".join(own))
+    docs_of = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    fps = simhash.set_fingerprints(docs_of).orderBy("doc_id").collect()
+    w = np.frombuffer(b"".join(r.fp for r in fps), ">u8").reshape(-1, 4).astype(np.uint64)
+    keys = simhash._sampled_keys(simhash.key_bits(len(texts)))(w)
+    want = gray_index._Sets(len(texts))
+    for a in range(len(texts)):
+        for b in range(a + 1, (a // 6 + 1) * 6):
+            i = len(np.intersect1d(sets[a], sets[b]))
+            if i >= 0.8 * (len(sets[a]) + len(sets[b]) - i) and any(k[a] == k[b] for k in keys) and np.bitwise_count(w[a] ^ w[b]).sum() <= simhash.radius_of(0.8):
+                want.join(np.array([a]), np.array([b]))
+    assert 40 < len(set(want.labels().tolist())) < 240
+    out = simhash.near_groups(docs_of).orderBy("doc_id").collect()
+    assert [r.component_id for r in out] == want.labels().tolist()
+
+
+def test_near_groups_count_a_shingle_once(spark):
+    """Repeats hide no similar set of shingles, nor do they make different sets one."""
+    often, rest = "tick " * 3000, [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    rows = [(1, often + rest[0], "s"), (2, often + rest[1], "s"), (3, "tick " * 5 + rest[0], "s")]
+    out = {r.doc_id: r.component_id for r in simhash.near_groups(make(spark, rows)).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("count", [10**4, 10**6, 10**9])
 def test_near_pairs_meet_at_any_corpus_size(count):
     """Of pairs whose bits differ as at a similarity of exactly 0.8, at least nine of ten share a key and
